@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tidemark.catalog.common import Query
 
-MODULES = ["scoring"]
+MODULES = ["scoring", "vectors"]
 
 
 def all_queries() -> dict[str, Query]:

@@ -50,9 +50,16 @@ class Split:
 DEFAULT_SPLIT = Split()
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Join condition on equal keys, NULL equal to NULL."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def join_keys(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, *, small: bool = False
+) -> DataFrame:
+    """Join on equal keys, NULL equal to NULL; ``small`` marks a right side of proven size."""
+    renamed = right.select(
+        *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
+    )
+    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    joined = left.join(F.broadcast(renamed) if small else renamed, condition, how)
+    return joined.drop(*[f"_r_{k}" for k in keys])
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], split: Split = DEFAULT_SPLIT) -> DataFrame:
@@ -97,14 +104,11 @@ def segment_rows(
     rows = hot.collect()
     if not rows:
         return df
-    hot = F.broadcast(df.sparkSession.createDataFrame(rows, hot.schema))
-    places = df.select(*dict.fromkeys([*keys, lead]))
-    places = places.join(hot, same_keys(places, hot, keys), "left_semi").groupBy(*keys).agg(cuts)
+    hot = df.sparkSession.createDataFrame(rows, hot.schema)
+    places = join_keys(df.select(*dict.fromkeys([*keys, lead])), hot, keys, "left_semi", small=True)
+    places = places.groupBy(*keys).agg(cuts)
     places = df.sparkSession.createDataFrame(places.collect(), places.schema)
-    places = F.broadcast(places.select("_cuts", *[F.col(k).alias(f"_hot_{k}") for k in keys]))
-    condition = reduce(lambda a, b: a & b, [df[k].eqNullSafe(places[f"_hot_{k}"]) for k in keys])
-    joined = df.join(places, condition, "left").select(*[df[c] for c in df.columns], "_cuts")
-    return _add_segment(joined, lead)
+    return _add_segment(join_keys(df, places, keys, "left", small=True), lead)
 
 
 def _add_segment(df: DataFrame, lead: str) -> DataFrame:
@@ -146,18 +150,8 @@ def with_prefix(
     )
     if prepare:
         side = side.withColumns(prepare)
-    side = side.select(
-        F.col(SEG).alias("_side_seg"),
-        *[F.col(k).alias(f"_side_{k}") for k in keys],
-        *[c.alias(name) for name, c in merged.items()],
-    )
-    condition = rows[SEG] == side["_side_seg"]
-    for k in keys:
-        condition = condition & rows[k].eqNullSafe(side[f"_side_{k}"])
-    names = list(merged)
-    return rows.join(F.broadcast(side), condition, "left").select(
-        *[rows[c] for c in rows.columns], *names
-    )
+    side = side.select(*keys, SEG, *[c.alias(name) for name, c in merged.items()])
+    return join_keys(rows, side, [*keys, SEG], "left", small=True)
 
 
 def with_halo(rows: DataFrame, keys: Sequence[str], order_by: Sequence[str], keep: Column | None = None) -> DataFrame:
