@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tidemark.catalog.common import Query
 
-MODULES = ["scoring", "vectors"]
+MODULES = ["scoring", "vectors", "reports", "structure"]
 
 
 def all_queries() -> dict[str, Query]:

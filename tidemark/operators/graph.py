@@ -1,4 +1,7 @@
-"""Flow graphs: edges, degrees, adjacency, Laplacian and PageRank."""
+"""Flow graphs: edges, degrees, adjacency, Laplacian and PageRank.
+
+A NULL graph key, source, target or node is no part of a graph.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.joins import SALT, copy_rows, find_hot, join_per_key, spread_rows
 from tidemark.plans.running import previous_values
-from tidemark.plans.segments import DEFAULT_SPLIT, Split, join_keys
+from tidemark.plans.segments import DEFAULT_SPLIT, Split
 from tidemark.session import cut_lineage
 
 # fixed values: statement, edge type, condition, and whether a step inside one line counts
@@ -73,8 +76,8 @@ def flow_edges(nodes: DataFrame) -> DataFrame:
         "doc_id",
         "source",
         F.col("line").alias("target"),
-        F.get(kind, F.col("node_type")).alias("edge_type"),
-        F.get(condition, F.col("node_type")).alias("condition"),
+        F.try_element_at(kind, F.col("node_type")).alias("edge_type"),
+        F.try_element_at(condition, F.col("node_type")).alias("condition"),
     )
 
     def in_part(part: str) -> Column:
@@ -115,7 +118,7 @@ def adjacency(edges: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFr
     pairs = edges.select(*keys, "source", "target").distinct()
     for end in ("source", "target"):
         known = nodes.select(*keys, F.col("node").alias(end))
-        pairs = join_keys(pairs, known, [*keys, end], "left_semi")
+        pairs = pairs.join(known, [*keys, end], "left_semi")
     return pairs
 
 
@@ -165,8 +168,8 @@ def pagerank(
     large = size.filter(F.col("_size") > small_graph).select(*keys)
     if large.isEmpty():
         return _pagerank_in_tasks(arcs, nodes, keys, damping, iterations)
-    in_tasks = [join_keys(d, large, keys, "left_anti") for d in (arcs, nodes)]
-    by_joins = [join_keys(d, large, keys, "left_semi") for d in (arcs, nodes)]
+    in_tasks = [d.join(large, [*keys], "left_anti") for d in (arcs, nodes)]
+    by_joins = [d.join(large, [*keys], "left_semi") for d in (arcs, nodes)]
     return _pagerank_in_tasks(*in_tasks, keys, damping, iterations).unionByName(
         _pagerank_by_joins(*by_joins, keys, damping, iterations, split)
     )

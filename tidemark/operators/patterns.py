@@ -35,13 +35,12 @@ def suspicious_text(
     df: DataFrame, id_column: str, text: str, patterns: dict[str, str] = SECRET_PATTERNS
 ) -> DataFrame:
     """Every match in every text: ``id, pattern, match``."""
-    matches = [
-        F.transform(
-            F.regexp_extract_all(F.col(text), F.lit(_insensitive(p)), F.lit(0)),
-            lambda m, name=name: F.struct(F.lit(name).alias("pattern"), m.alias("match")),
-        )
-        for name, p in patterns.items()
-    ]
+
+    def found(name: str, pattern: str) -> Column:
+        texts = F.regexp_extract_all(F.col(text), F.lit(_insensitive(pattern)), F.lit(0))
+        return F.transform(texts, lambda m: F.struct(F.lit(name).alias("pattern"), m.alias("match")))
+
+    matches = [found(name, pattern) for name, pattern in patterns.items()]
     hit = df.filter(has_secret(F.col(text), patterns))
     rows = hit.select(id_column, F.explode(F.concat(*matches)).alias("_m"))
     return rows.select(id_column, "_m.pattern", "_m.match")

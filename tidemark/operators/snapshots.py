@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.segments import join_keys
-
 DRIFT_RATIO = 1.5
 
 
@@ -63,6 +61,6 @@ def drift(
     """Compare one distance per key: ``base_distance new_distance drift_detected``."""
     old = base.select(*keys, F.col(distance).alias("base_distance"))
     new = target.select(*keys, F.col(distance).alias("new_distance"))
-    rows = join_keys(new, old, keys, "inner")
+    rows = new.join(old, [*keys], "inner")
     detected = F.col("new_distance") > F.col("base_distance") * ratio
     return rows.select(*keys, "base_distance", "new_distance", detected.alias("drift_detected"))

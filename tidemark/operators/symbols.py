@@ -170,6 +170,6 @@ def slots_to_array(slots: DataFrame, id_column: str, dim: int, name: str) -> Dat
     entries = F.map_from_entries(F.collect_list(F.struct("slot", "value")))
     packed = slots.filter(F.col("slot") < dim).groupBy(id_column).agg(entries.alias("_m"))
     dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.get("_m", i), F.lit(0.0))
+        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0))
     )
     return packed.select(id_column, dense.alias(name))
