@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tidemark.catalog.common import Query
 
-MODULES = ["scoring", "vectors", "reports", "structure"]
+MODULES = ["scoring", "vectors", "reports", "structure", "streams"]
 
 
 def all_queries() -> dict[str, Query]:

@@ -9,6 +9,7 @@ from tidemark.catalog.common import Query, r, rounded, table
 from tidemark.functions.hashing import positional_encoding as encode
 from tidemark.operators import features, graph, patterns, symbols
 from tidemark.plans.running import latest_defined
+from tidemark.session import stored
 from tidemark.sources.nodes import source_nodes, tag_nodes, tags
 from tidemark.sources.store import flatten_struct
 
@@ -317,7 +318,8 @@ def customer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_nodes(customer_sources(spark, sf_dir))
+    """Parsed once and stored: most queries need the nodes several times."""
+    return stored(source_nodes(customer_sources(spark, sf_dir)), "nodes")
 
 
 def _per_segment(columns: list[str], rows: list[tuple], select: str) -> str:
@@ -339,7 +341,7 @@ _KEYED = "replace(name, '#', CAST(c_custkey AS VARCHAR)) AS name"
 
 def source_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements of each source by type and line; unparsable sources give one error row."""
-    nodes = customer_nodes(spark, sf_dir)
+    nodes = source_nodes(customer_sources(spark, sf_dir))
     kinds = ["FunctionDef", "AsyncFunctionDef", "ClassDef", "If", "For", "While", "Try", "Return", "_error"]
     kept = nodes.filter(F.col("node_type").isin(kinds))
     return kept.select("doc_id", "node_type", "name", "line", "depth")
@@ -385,7 +387,7 @@ COUNT_USAGES_SQL = _per_segment(
 
 
 def define_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = symbols.define_symbols(customer_nodes(spark, sf_dir))
+    found = symbols.define_symbols(source_nodes(customer_sources(spark, sf_dir)))
     return found.select("doc_id", "name", "node_type", "definition_line")
 
 
@@ -451,7 +453,7 @@ CALL_PATTERN_SQL = "SELECT c_custkey AS doc_id, 'execute' AS name, 3 AS line FRO
 
 
 def dangerous_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = patterns.dangerous_calls(customer_nodes(spark, sf_dir))
+    found = patterns.dangerous_calls(source_nodes(customer_sources(spark, sf_dir)))
     return found.select("doc_id", "name", "line")
 
 
@@ -459,8 +461,8 @@ DANGEROUS_CALLS_SQL = "SELECT c_custkey AS doc_id, 'eval' AS name, 4 AS line FRO
 
 
 def scan_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = customer_sources(spark, sf_dir)
-    return flatten_struct(patterns.scan_flags(sources, source_nodes(sources)))
+    sources, nodes = customer_sources(spark, sf_dir), customer_nodes(spark, sf_dir)
+    return flatten_struct(patterns.scan_flags(sources, nodes))
 
 
 SCAN_FLAGS_SQL = """

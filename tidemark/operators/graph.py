@@ -231,36 +231,46 @@ def _pagerank_by_joins(
 ) -> DataFrame:
     """Rank flows along the arcs by one join and one aggregation per step.
 
-    Arcs are laid out once by their giving node.  The arcs of a hot giver are
-    spread over 256 salts by their other end, and its rank is copied to each.
+    Arcs are laid out and sorted once by their giving node and kept, so a step
+    shuffles ranks and pre-summed gifts but never the arcs.  The arcs of a hot
+    giver are spread over 256 salts by their other end, and its gift is copied
+    to each.  Checkpoints cut the lineage every few steps and at the end.
     """
-    known = nodes.select(*keys, "node").filter(F.col("node").isNotNull()).distinct()
-    share = arcs.groupBy(*keys, F.col("_from").alias("node")).agg(F.count(F.lit(1)).alias("_share"))
+    spark = arcs.sparkSession
+    # read several times below; computed once
+    arcs, nodes = cut_lineage(arcs), cut_lineage(nodes.select(*keys, "node"))
+    places = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    giver = [*keys, "node"]
+    arcs = arcs.withColumnRenamed("_from", "node")
+    known = nodes.select(*giver).filter(F.col("node").isNotNull()).distinct()
+    share = arcs.groupBy(*giver).agg(F.count(F.lit(1)).alias("_share"))
     if keys:
         sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count"))
         known = join_per_key(known, sizes, keys, ["node"], split=split)
     else:
         known = known.withColumn("_count", known.agg(F.count(F.lit(1)).alias("_c")).scalar())
-    known = cut_lineage(known.join(share, [*keys, "node"], "left").repartition(*keys, "node"))
+    known = known.join(share, giver, "left").repartition(places, *giver).persist()
 
-    giver = [*keys, "node"]
-    arcs = arcs.withColumnRenamed("_from", "node")
     hot = find_hot(arcs, giver, split)
     salt = [] if hot is None else [SALT]
     if hot is not None:
         arcs = spread_rows(arcs, hot, giver, ["_to"])
-    arcs = cut_lineage(arcs.repartition(*giver, *salt))
+    arcs = arcs.repartition(places, *giver, *salt).sortWithinPartitions(*giver, *salt).persist()
 
-    ranks = known.select(*giver, "_share", (1.0 / F.col("_count")).alias("rank"))
-    base = (1.0 - damping) / F.col("_count")
+    own = (1.0 - damping) / F.col("_count")
+    base = known.select(*giver, own.alias("_part"), "_share")
+    ranks = known.select(*giver, (1.0 / F.col("_count")).alias("rank"), "_share")
     for step in range(1, iterations + 1):
-        gifts = ranks.select(*giver, (F.col("rank") / F.col("_share")).alias("_gift"))
+        gifts = ranks.filter(F.col("_share").isNotNull())
+        gifts = gifts.select(*giver, (damping * F.col("rank") / F.col("_share")).alias("_part"))
         if hot is not None:
             gifts = copy_rows(gifts, hot, giver)
-        flow = arcs.join(gifts, [*giver, *salt]).groupBy(*keys, F.col("_to").alias("node"))
-        flow = flow.agg(F.sum("_gift").alias("_flow"))
-        rank = base + damping * F.coalesce("_flow", F.lit(0.0))
-        ranks = known.join(flow, giver, "left").select(*giver, "_share", rank.alias("rank"))
-        if step % STEPS_PER_CHECKPOINT == 0 and step < iterations:
+        moved = arcs.join(gifts, [*giver, *salt])
+        moved = moved.select(*keys, F.col("_to").alias("node"), "_part", F.lit(None).alias("_share"))
+        parts = moved.unionByName(base).groupBy(*giver)
+        ranks = parts.agg(F.sum("_part").alias("rank"), F.max("_share").alias("_share"))
+        if step % STEPS_PER_CHECKPOINT == 0 or step == iterations:
             ranks = cut_lineage(ranks)
+    known.unpersist()
+    arcs.unpersist()
     return ranks.select(*giver, "rank")

@@ -11,7 +11,16 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scores
 from tidemark.functions.arrays import renyi_entropy, shannon_entropy, softmax
-from tidemark.plans.running import pair_names, running_moments, running_sums, sliding_rows
+from tidemark.plans.joins import join_per_key
+from tidemark.plans.running import (
+    group_moments,
+    merge_moments,
+    moment_names,
+    pair_names,
+    running_moments,
+    running_sums,
+    sliding_rows,
+)
 from tidemark.plans.segments import DEFAULT_SPLIT, Split
 
 RIDGE = 1e-6
@@ -200,6 +209,42 @@ def judge(rows: DataFrame) -> DataFrame:
     )
 
 
+def _with_flat(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Add the mean of the features, on which the z-score works."""
+    mean = sum((F.col(c) for c in features[1:]), F.col(features[0])) / len(features)
+    return df.withColumn("_flat", mean)
+
+
+def _review_columns(features: Sequence[str]) -> tuple[list[str], list[tuple[str, str]]]:
+    return [*features, "_flat"], [*pair_names(features), ("_flat", "_flat")]
+
+
+def review_moments(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """What ``review`` has to know about rows that came before: one row per key."""
+    return group_moments(_with_flat(df, features), keys, *_review_columns(features))
+
+
+def merge_review_moments(parts: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """Merge a few ``review_moments`` tables, told apart by column ``part``, in that order.
+
+    A key has one row per part, so its array is as short as the list of parts.
+    """
+    columns, pairs = _review_columns(features)
+    names = moment_names(columns, pairs)
+    ordered = F.array_sort(F.collect_list(F.struct("part", *names)))
+    one = parts.groupBy(*keys).agg(ordered.alias("_parts"))
+    none = F.struct(*[F.lit(None).cast("double").alias(n) for n in names])
+
+    def add(acc: Column, part: Column) -> Column:
+        merged = merge_moments(
+            {n: acc[n] for n in names}, {n: part[n] for n in names}, columns, pairs
+        )
+        return F.struct(*[merged[n].alias(n) for n in names])
+
+    rows = one.select(*keys, F.aggregate("_parts", none, add).alias("_total"))
+    return rows.select(*keys, "_total.*")
+
+
 def review(
     df: DataFrame,
     keys: Sequence[str],
@@ -213,19 +258,28 @@ def review(
     z_limit: float = scores.Z_LIMIT,
     ridge: float = RIDGE,
     needed: int = scores.COLD_START_RECORDS,
+    prior: DataFrame | None = None,
     split: Split = DEFAULT_SPLIT,
 ) -> DataFrame:
     """The whole verdict per row: distance, entropy, z-score, vote and confidence.
 
     Distance and z-score (of the mean feature) come from one window, hence one
     shuffle.  ``id_column`` names the record id where ids can repeat; without it
-    every row counts as a new record.
+    every row counts as a new record.  ``prior`` holds what ``review_moments``
+    gave for all earlier rows of the keys.
     """
-    mean = sum((F.col(c) for c in features[1:]), F.col(features[0])) / len(features)
-    pairs = [*pair_names(features), ("_flat", "_flat")]
+    columns, pairs = _review_columns(features)
     rows = running_moments(
-        df.withColumn("_flat", mean), keys, order_by, [*features, "_flat"], pairs=pairs, split=split
+        _with_flat(df, features), keys, order_by, columns, pairs=pairs, split=split
     )
+    if prior is not None:
+        names = moment_names(columns, pairs)
+        known = prior.select(*keys, *[F.col(n).alias(f"_prior{n}") for n in names])
+        rows = join_per_key(rows, known, keys, order_by, split=split)
+        merged = merge_moments(
+            {n: F.col(f"_prior{n}") for n in names}, {n: F.col(n) for n in names}, columns, pairs
+        )
+        rows = rows.select(*df.columns, "_flat", *[merged[n].alias(n) for n in names])
     n = F.col("_n")
     z = _z_columns(F.col("_flat"), n, F.col("_mean__flat"), F.col("_m2__flat__flat"), z_limit)
     rows = rows.withColumns({"mahalanobis_distance": _distance(features, n, ridge, 1), **z})

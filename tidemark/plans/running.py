@@ -87,33 +87,68 @@ def running_moments(
         total = F.sum("n").over(earlier)
         off = {c: F.sum(F.col("n") * F.col(f"off_{c}")).over(earlier) / total for c in columns}
         mean = {c: F.sum(F.col("n") * F.col(f"mean_{c}")).over(earlier) / total for c in columns}
-        merged = {"_n0": total} | {f"_mean0_{c}": mean[c] for c in columns}
+        merged = {"_0n": total} | {f"_0mean_{c}": mean[c] for c in columns}
         for a, b in pairs:
             inside = F.sum(F.col("n") * F.col(f"cov_{a}_{b}")).over(earlier)
             between = F.sum(F.col("n") * F.col(f"off_{a}") * F.col(f"off_{b}")).over(earlier)
-            merged[f"_m20_{a}_{b}"] = inside + between - total * off[a] * off[b]
+            merged[f"_0m2_{a}_{b}"] = inside + between - total * off[a] * off[b]
         return merged
 
     rows = with_prefix(rows, keys, partials, merge, prepare)
-    local = {"_n1": F.count(F.lit(1)).over(frame).cast("double")}
-    local |= {f"_mean1_{c}": F.coalesce(F.avg(c).over(frame), F.lit(0.0)) for c in columns}
+    local = {"_1n": F.count(F.lit(1)).over(frame).cast("double")}
+    local |= {f"_1mean_{c}": F.coalesce(F.avg(c).over(frame), F.lit(0.0)) for c in columns}
     local |= {
-        f"_m21_{a}_{b}": F.coalesce(product_sum(a, b).over(frame), F.lit(0.0)) for a, b in pairs
+        f"_1m2_{a}_{b}": F.coalesce(product_sum(a, b).over(frame), F.lit(0.0)) for a, b in pairs
     }
     rows = rows.withColumns(local)
-    n0, n1 = F.col("_n0"), F.col("_n1")
+    own = {name.replace("1", "", 1): F.col(name) for name in local}
+    for a, b in pairs:
+        own[f"_m2_{a}_{b}"] = own[f"_m2_{a}_{b}"] * F.col("_1n")
+    if SEG in rows.columns:
+        own = merge_moments(
+            {name: F.col(name.replace("_", "_0", 1)) for name in moment_names(columns, pairs)},
+            own, columns, pairs,
+        )
+    return rows.select(*df.columns, *[own[name].alias(name) for name in moment_names(columns, pairs)])
+
+
+def moment_names(columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> list[str]:
+    return ["_n", *[f"_mean_{c}" for c in columns], *[f"_m2_{a}_{b}" for a, b in pairs]]
+
+
+def merge_moments(
+    earlier: dict[str, Column],
+    later: dict[str, Column],
+    columns: Sequence[str],
+    pairs: Sequence[tuple[str, str]],
+) -> dict[str, Column]:
+    """Moments of two row sets together (parallel variance formula); NULL ``_n`` means no rows."""
+    n0, n1 = earlier["_n"], later["_n"]
+    none = n0.isNull()
     total = n0 + n1
-    first = n0.isNull()
-    result = [F.when(first, n1).otherwise(total).alias("_n")]
-    step = {c: F.col(f"_mean1_{c}") - F.col(f"_mean0_{c}") for c in columns}
+    safe = F.greatest(total, F.lit(1.0))
+    step = {c: later[f"_mean_{c}"] - earlier[f"_mean_{c}"] for c in columns}
+    merged = {"_n": F.when(none, n1).otherwise(total)}
     for c in columns:
-        merged = F.col(f"_mean0_{c}") + step[c] * n1 / total
-        result.append(F.when(first, F.col(f"_mean1_{c}")).otherwise(merged).alias(f"_mean_{c}"))
+        name = f"_mean_{c}"
+        merged[name] = F.when(none, later[name]).otherwise(earlier[name] + step[c] * n1 / safe)
+    for a, b in pairs:
+        name = f"_m2_{a}_{b}"
+        both = earlier[name] + later[name] + step[a] * step[b] * n0 * n1 / safe
+        merged[name] = F.when(none, later[name]).otherwise(both)
+    return merged
+
+
+def group_moments(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], pairs: Sequence[tuple[str, str]]
+) -> DataFrame:
+    """The moments of all rows of each key, one aggregation."""
+    n = F.count(F.lit(1)).cast("double")
+    aggregates = [n.alias("_n"), *[F.avg(c).alias(f"_mean_{c}") for c in columns]]
     for a, b in pairs:
-        own = F.col(f"_m21_{a}_{b}") * n1
-        merged = F.col(f"_m20_{a}_{b}") + own + step[a] * step[b] * n0 * n1 / total
-        result.append(F.when(first, own).otherwise(merged).alias(f"_m2_{a}_{b}"))
-    return rows.select(*df.columns, *result)
+        spread = F.var_pop(a) if a == b else F.covar_pop(a, b)
+        aggregates.append((spread * n).alias(f"_m2_{a}_{b}"))
+    return df.groupBy(*keys).agg(*aggregates)
 
 
 def sliding_rows(

@@ -39,3 +39,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder and go on from there; survives lost executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows once below the shared folder and read them back.
+
+    For a table that several branches of a query need: each branch then reads
+    only its columns instead of computing all rows again.
+    """
+    path = run_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
