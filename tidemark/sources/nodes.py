@@ -96,8 +96,15 @@ def node_rows(text: str) -> list[tuple]:
     return [tuple(row) for row in rows]
 
 
-def source_nodes(sources: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Parse each text into node rows; a text that does not parse gives one ``_error`` row."""
+def source_nodes(
+    sources: DataFrame, id_column: str = "doc_id", text: str = "text", *, spread: bool = True
+) -> DataFrame:
+    """Parse each text into node rows; a text that does not parse gives one ``_error`` row.
+
+    Parsing costs far more than moving a text, so texts are first spread over
+    ``spark.sql.shuffle.partitions`` tasks by id; ``spread=False`` keeps the
+    partitions of the input.
+    """
     kind = sources.schema[id_column].dataType.simpleString()
     names = [part.split()[0] for part in NODE_SCHEMA.split(", ")]
     empty = dict.fromkeys(names) | {"node_id": 0, "parent_id": -1, "node_type": "_error"}
@@ -117,6 +124,9 @@ def source_nodes(sources: DataFrame, id_column: str = "doc_id", text: str = "tex
             yield pd.DataFrame(out, columns=["doc_id", *names])
 
     rows = sources.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
+    if spread:
+        tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(tasks, "doc_id")
     return rows.mapInPandas(parse, f"doc_id {kind}, {NODE_SCHEMA}")
 
 
