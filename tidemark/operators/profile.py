@@ -41,11 +41,11 @@ class Profile:
 def _moments(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Mean, population covariance and count, aggregated by Spark ML as trees."""
     rows = df.select(array_to_vector(doubles(vector)).alias("v")).filter(F.col("v").isNotNull())
+    if rows.isEmpty():
+        raise ValueError("a profile needs at least one vector")
     metrics = Summarizer.metrics("mean", "std", "count").summary(F.col("v"))
     found = rows.select(metrics.alias("m")).select("m.*").head()
     count = int(found["count"])
-    if count == 0:
-        raise ValueError("a profile needs at least one vector")
     mean = found["mean"].toArray()
     if count == 1:
         return mean, np.zeros((len(mean), len(mean))), count
