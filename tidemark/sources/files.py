@@ -9,8 +9,7 @@ from pyspark.sql.types import StructType
 
 def scan_sources(spark: SparkSession, path: str, pattern: str = "*.py") -> DataFrame:
     """Whole files below a folder (or one file) as ``source_id, source``."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    rows = reader.option("pathGlobFilter", pattern).text(path)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return rows.select(F.col("_metadata.file_path").alias("source_id"), F.col("value").alias("source"))
 
 
