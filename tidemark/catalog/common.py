@@ -34,8 +34,8 @@ def rounded(*names: str, digits: int = DIGITS) -> list[Column]:
 
 
 def r(expression: str, name: str, digits: int = DIGITS) -> str:
-    """SQL for the same rounded column."""
-    return f"round({expression} + {NUDGE}, {digits}) AS {name}"
+    """SQL for the same rounded column; adding 0.0 turns a negative zero into zero."""
+    return f"round({expression} + {NUDGE}, {digits}) + 0.0 AS {name}"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import scoring
 from tidemark.catalog.common import Query, r, rounded, table
+from tidemark.functions.scores import anomaly_vote as vote
 from tidemark.operators import patterns, reports, snapshots
+from tidemark.operators.reliability import running_reliability
 from tidemark.operators.scoring import running_mahalanobis
+from tidemark.session import run_folder
 from tidemark.sources import files, store
 
 STATS = ["mean", "median", "std", "min", "max"]
@@ -87,8 +90,6 @@ def anomaly_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vote_z": F.abs("z_score") > 1.5,
     }
     rows = reviewed.select(*[c.alias(n) for n, c in votes.items()])
-    from tidemark.functions.scores import anomaly_vote as vote
-
     rows = rows.withColumn("is_anomalous", vote(*[F.col(n) for n in votes]))
     return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("rows"))
 
@@ -209,30 +210,61 @@ SELECT o_orderkey, '{"o_orderstatus":"' || o_orderstatus || '","o_custkey":' ||
 FROM orders"""
 
 
-def flatten_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(
+def nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
         "o_orderkey",
         F.struct(
             F.col("o_orderstatus").alias("status"),
-            F.struct(F.col("o_custkey").alias("key")).alias("customer"),
+            F.struct(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("price")).alias("customer"),
         ).alias("o"),
     )
-    return store.flatten_struct(rows)
+
+
+def flatten_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.flatten_struct(nested_orders(spark, sf_dir))
 
 
 FLATTEN_STRUCT_SQL = """
-SELECT o_orderkey, o_orderstatus AS o_status, o_custkey AS o_customer_key FROM orders"""
+SELECT o_orderkey, o_orderstatus AS o_status, o_custkey AS o_customer_key, o_totalprice AS o_customer_price
+FROM orders"""
 
 
 def append_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reliability log per user, in time order, as it is appended."""
-    from tidemark.operators.reliability import running_reliability
-
+    """The reliability log, appended once for failures and once for successes, and read back."""
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
     found = running_reliability(rows, ["user_id"], ["ts", "event_id"], F.col("event_type") != "error")
-    return found.select(
-        F.col("user_id").cast("string").alias("vector_id"), *rounded("old_score", "new_score", digits=9), "ts"
-    )
+    log = found.withColumn("vector_id", F.col("user_id").cast("string"))
+    path = run_folder(spark, "log")
+    for failed in (True, False):
+        part = log.filter((F.col("event_type") == "error") == failed)
+        store.append_log(part.select("vector_id", "old_score", "new_score", "ts"), path)
+    return spark.read.parquet(path).select("vector_id", *rounded("old_score", "new_score", digits=9), "ts")
+
+
+def write_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested rows written as JSON lines and read back."""
+    rows = nested_orders(spark, sf_dir)
+    path = run_folder(spark, "json")
+    store.write_json(rows, path)
+    return store.flatten_struct(spark.read.schema(rows.schema).json(path))
+
+
+def write_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested rows written as flat CSV with a header and read back."""
+    rows = nested_orders(spark, sf_dir)
+    path = run_folder(spark, "csv")
+    store.write_csv(rows, path)
+    return spark.read.schema(store.flatten_struct(rows).schema).option("header", True).csv(path)
+
+
+def scan_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as one file each, then found and read whole."""
+    folder = run_folder(spark, "texts")
+    texts = table(spark, sf_dir, "benchmark").select("text")
+    texts.write.option("maxRecordsPerFile", 1).text(folder)
+    found = files.scan_sources(spark, folder, "*.txt")
+    body = F.expr("substring(source, 1, length(source) - 1)")
+    return found.select(F.md5(body).alias("digest"), F.length(body).alias("chars"))
 
 
 APPEND_LOG_SQL = f"""
@@ -390,6 +422,11 @@ QUERIES = {
     "parse_metadata": Query(parse_metadata, PARSE_METADATA_SQL),
     "metadata_to_json": Query(metadata_to_json, METADATA_TO_JSON_SQL),
     "flatten_struct": Query(flatten_struct, FLATTEN_STRUCT_SQL),
+    "write_json": Query(write_json, FLATTEN_STRUCT_SQL),
+    "write_csv": Query(write_csv, FLATTEN_STRUCT_SQL),
+    "scan_sources": Query(
+        scan_sources, "SELECT md5(text) AS digest, CAST(length(text) AS INTEGER) AS chars FROM benchmark"
+    ),
     "append_log": Query(append_log, APPEND_LOG_SQL),
     "suspicious_text": Query(suspicious_text, SUSPICIOUS_TEXT_SQL),
     "text_flags": Query(text_flags, TEXT_FLAGS_SQL),

@@ -472,12 +472,55 @@ SELECT c_custkey AS doc_id, c_mktsegment = 'BUILDING' AS security_flags_sql_inje
 FROM customer"""
 
 
+def subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names anywhere below each function."""
+    nodes = customer_nodes(spark, sf_dir)
+    functions = F.col("node_type").isin("FunctionDef", "AsyncFunctionDef")
+    names = (F.col("node_type") == "Name").cast("int")
+    return symbols.subtree_sums(nodes, functions, names, "names").select("doc_id", "names")
+
+
+SUBTREE_SQL = _per_segment(
+    ["names"], [("AUTOMOBILE", 9), ("BUILDING", 4), ("MACHINERY", 5)], "CAST(names AS BIGINT) AS names"
+)
+
+
 def complexity_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = features.complexity_vector(customer_nodes(spark, sf_dir))
     rows = found.select("doc_id", F.posexplode("complexity").alias("slot", "value"))
     return rows.select("doc_id", "slot", *rounded("value"))
 
 
+# segment, values of the first eight slots, definition depths
+_COMPLEXITY = [
+    ("AUTOMOBILE", [1, 0, 1, 1, 2, 3, 4, 4], [1, 3, 3, 5]),
+    ("BUILDING", [1, 1, 0, 0, 0, 0, 2, 0], [1, 2, 4, 4, 4]),
+    ("FURNITURE", [0, 0, 5, 0, 0, 0, 7, 6], [2, 3, 3, 3, 3, 4]),
+    ("MACHINERY", [0, 0, 1, 0, 2, 0, 4, 4], [1, 3, 3, 4]),
+]
+_LINES = [("AUTOMOBILE", 4), ("BUILDING", 2), ("FURNITURE", 7), ("MACHINERY", 4)]
+_FLOW_EDGES_SQL = "SELECT * FROM (VALUES {}) t(segment, source, target)".format(
+    ", ".join(f"('{s}', {a}, {b})" for s, a, b, _, _ in _EDGES)
+)
+_FLOW_NODES_SQL = "SELECT segment, unnest(range(1, n + 1)) AS node FROM (VALUES {}) t(segment, n)".format(
+    ", ".join(f"('{s}', {n})" for s, n in _LINES)
+)
+COMPLEXITY_VECTOR_SQL = f"""{
+    pagerank_sql(_FLOW_EDGES_SQL, _FLOW_NODES_SQL, 'segment', 100, 'target', 'source')},
+v(segment, counts, depths) AS (VALUES {', '.join(f"('{s}', {c}, {d})" for s, c, d in _COMPLEXITY)}),
+q AS (SELECT g AS segment, avg(rank) AS mean, stddev_pop(rank) AS std FROM r100 GROUP BY g),
+d AS (SELECT segment, d, count(*) AS c FROM (SELECT segment, unnest(depths) AS d FROM v) GROUP BY segment, d),
+h AS (
+  SELECT segment, -sum(p * log2(p + 1e-12)) AS entropy
+  FROM (SELECT segment, c / sum(c) OVER (PARTITION BY segment) AS p FROM d) GROUP BY segment),
+l AS (
+  SELECT segment, unnest(range(32)) AS slot,
+         unnest(list_concat(list_concat(CAST(counts AS DOUBLE[]), [mean, std, entropy]), list_resize(CAST([] AS DOUBLE[]), 21, 0.0))) AS value
+  FROM v JOIN q USING (segment) JOIN h USING (segment))
+SELECT c_custkey AS doc_id, CAST(slot AS INTEGER) AS slot, {r('value', 'value')}
+FROM customer JOIN l ON segment = c_mktsegment"""
+
+
 def source_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = features.source_vectors(customer_nodes(spark, sf_dir))
     total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x)
@@ -515,6 +558,7 @@ QUERIES = {
     "call_pattern": Query(call_pattern, CALL_PATTERN_SQL),
     "dangerous_calls": Query(dangerous_calls, DANGEROUS_CALLS_SQL),
     "scan_flags": Query(scan_flags, SCAN_FLAGS_SQL),
-    "complexity_vector": Query(complexity_vector),
+    "subtree": Query(subtree, SUBTREE_SQL),
+    "complexity_vector": Query(complexity_vector, COMPLEXITY_VECTOR_SQL),
     "source_vectors": Query(source_vectors),
 }

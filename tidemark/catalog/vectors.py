@@ -283,6 +283,22 @@ SELECT l_returnflag, count(*) AS n, {r('avg(l_quantity)', 'mean_x')}, {r('avg(l_
 FROM lineitem GROUP BY l_returnflag"""
 
 
+def fit_profile_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted covariance matrix of all 64 dimensions, one row per entry."""
+    fitted = profile.fit_profile(embeddings(spark, sf_dir), "v")
+    d = len(fitted.mean)
+    entries = [(i, j, float(fitted.covariance[i, j])) for i in range(d) for j in range(d)]
+    found = spark.createDataFrame(entries, "i INT, j INT, covariance DOUBLE")
+    return found.select("i", "j", *rounded("covariance"))
+
+
+FIT_PROFILE_WIDE_SQL = f"""
+WITH x AS MATERIALIZED ({VALUES_SQL})
+SELECT a.i - 1 AS i, b.i - 1 AS j,
+       {r('covar_pop(a.x, b.x) + CASE WHEN a.i = b.i THEN 1e-6 ELSE 0.0 END', 'covariance')}
+FROM x a JOIN x b USING (vec_id) GROUP BY a.i, b.i"""
+
+
 def profile_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_discount")
     found = profile.pair_profile(rows, ["l_suppkey"], "l_quantity", "l_discount")
@@ -458,6 +474,7 @@ QUERIES = {
     "top_k": Query(top_k, TOP_K_SQL),
     "record_count": Query(load_vectors_count, "SELECT count(*) AS record_count FROM embeddings"),
     "fit_profile": Query(fit_profile_pairs, FIT_PROFILE_SQL),
+    "fit_profile_wide": Query(fit_profile_wide, FIT_PROFILE_WIDE_SQL),
     "profile_condition": Query(profile_condition, PROFILE_CONDITION_SQL),
     "score_profile": Query(score_profile, SCORE_PROFILE_SQL),
     "score_profile_wide": Query(score_profile_wide),

@@ -42,15 +42,16 @@ def suspicious_text(
 
     matches = [found(name, pattern) for name, pattern in patterns.items()]
     hit = df.filter(has_secret(F.col(text), patterns))
-    rows = hit.select(id_column, F.explode(F.concat(*matches)).alias("_m"))
-    return rows.select(id_column, "_m.pattern", "_m.match")
+    rows = hit.select(id_column, F.explode_outer(F.concat(*matches)).alias("_m"))
+    return rows.filter(F.col("_m").isNotNull()).select(id_column, "_m.pattern", "_m.match")
 
 
 def call_counts(df: DataFrame, id_column: str, text: str, names: list[str]) -> DataFrame:
     """Calls ``name(`` of the given bare names per text: ``id, name, calls``."""
     pattern = rf"(?:^|[^\w.])({'|'.join(names)})\s*\("
     found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))
-    calls = df.select(id_column, F.explode(found).alias("name"))
+    calls = df.select(id_column, F.explode_outer(found).alias("name"))
+    calls = calls.filter(F.col("name").isNotNull())
     return calls.groupBy(id_column, "name").agg(F.count(F.lit(1)).alias("calls"))
 
 

@@ -146,7 +146,9 @@ def tag_nodes(pages: DataFrame, id_column: str, html: str, void: list[str] = VOI
     running depth needs no further shuffle.
     """
     found = pages.select(id_column, tags(F.col(html)).alias("_tags")).repartition(id_column)
-    rows = found.select(id_column, F.posexplode("_tags").alias("ord", "_raw"))
+    # the outer form keeps the optimizer from repeating the pattern in a filter below
+    rows = found.select(id_column, F.posexplode_outer("_tags").alias("ord", "_raw"))
+    rows = rows.filter(F.col("ord").isNotNull())
     is_open = ~F.col("_raw").startswith("/")
     rows = rows.withColumns({"is_open": is_open, "tag": F.lower(F.ltrim(F.col("_raw"), F.lit("/")))})
     step = F.when(F.col("tag").isin(void), 0).when(F.col("is_open"), 1).otherwise(-1)
