@@ -69,47 +69,60 @@ def running_moments(
     so nothing is summed uncentred.
     """
     pairs = pair_names(columns) if pairs is None else list(pairs)
+    names = moment_names(columns, pairs)
     rows = segment_rows(df, keys, order_by[0], split)
+    if SEG in rows.columns:
+        rows = _with_earlier_moments(rows, keys, columns, pairs)
     end = Window.currentRow if include_self else -1
     frame = segment_window(rows, keys, order_by).rowsBetween(Window.unboundedPreceding, end)
 
-    def product_sum(a: str, b: str) -> Column:
-        return F.var_pop(a) if a == b else F.covar_pop(a, b)
+    def so_far(value: Column) -> Column:
+        found = value.over(frame)
+        return found if include_self else F.coalesce(found, F.lit(0.0))
+
+    n = F.count(F.lit(1)).over(frame).cast("double")
+    own = [n, *[so_far(F.avg(c)) for c in columns]]
+    own += [so_far(_spread(a, b)) * n for a, b in pairs]
+    if SEG not in rows.columns:
+        return rows.select(*df.columns, *[c.alias(name) for c, name in zip(own, names)])
+    rows = rows.withColumns({f"_own{name}": c for c, name in zip(own, names)})
+    merged = merge_moments(
+        {name: F.col(f"_earlier{name}") for name in names},
+        {name: F.col(f"_own{name}") for name in names},
+        columns,
+        pairs,
+    )
+    return rows.select(*df.columns, *[merged[name].alias(name) for name in names])
+
+
+def _spread(a: str, b: str) -> Column:
+    return F.var_pop(a) if a == b else F.covar_pop(a, b)
 
+
+def _with_earlier_moments(
+    rows: DataFrame, keys: Sequence[str], columns: Sequence[str], pairs: Sequence[tuple[str, str]]
+) -> DataFrame:
+    """Add the moments of all earlier segments of the key, ``_earlier_...``."""
     partials = {"n": F.count(F.lit(1)).cast("double")}
     partials |= {f"mean_{c}": F.avg(c) for c in columns}
-    partials |= {f"cov_{a}_{b}": product_sum(a, b) for a, b in pairs}
-    # earlier segments are centred on the key's own mean before squares are added
+    partials |= {f"cov_{a}_{b}": _spread(a, b) for a, b in pairs}
+    # segments are centred on the key's own mean before squares are added
     whole = Window.partitionBy(*keys)
     prepare = {f"off_{c}": F.col(f"mean_{c}") - F.avg(f"mean_{c}").over(whole) for c in columns}
 
     def merge(earlier: WindowSpec) -> dict[str, Column]:
         total = F.sum("n").over(earlier)
         off = {c: F.sum(F.col("n") * F.col(f"off_{c}")).over(earlier) / total for c in columns}
-        mean = {c: F.sum(F.col("n") * F.col(f"mean_{c}")).over(earlier) / total for c in columns}
-        merged = {"_0n": total} | {f"_0mean_{c}": mean[c] for c in columns}
+        merged = {"_earlier_n": total}
+        for c in columns:
+            merged[f"_earlier_mean_{c}"] = F.sum(F.col("n") * F.col(f"mean_{c}")).over(earlier) / total
         for a, b in pairs:
             inside = F.sum(F.col("n") * F.col(f"cov_{a}_{b}")).over(earlier)
             between = F.sum(F.col("n") * F.col(f"off_{a}") * F.col(f"off_{b}")).over(earlier)
-            merged[f"_0m2_{a}_{b}"] = inside + between - total * off[a] * off[b]
+            merged[f"_earlier_m2_{a}_{b}"] = inside + between - total * off[a] * off[b]
         return merged
 
-    rows = with_prefix(rows, keys, partials, merge, prepare)
-    local = {"_1n": F.count(F.lit(1)).over(frame).cast("double")}
-    local |= {f"_1mean_{c}": F.coalesce(F.avg(c).over(frame), F.lit(0.0)) for c in columns}
-    local |= {
-        f"_1m2_{a}_{b}": F.coalesce(product_sum(a, b).over(frame), F.lit(0.0)) for a, b in pairs
-    }
-    rows = rows.withColumns(local)
-    own = {name.replace("1", "", 1): F.col(name) for name in local}
-    for a, b in pairs:
-        own[f"_m2_{a}_{b}"] = own[f"_m2_{a}_{b}"] * F.col("_1n")
-    if SEG in rows.columns:
-        own = merge_moments(
-            {name: F.col(name.replace("_", "_0", 1)) for name in moment_names(columns, pairs)},
-            own, columns, pairs,
-        )
-    return rows.select(*df.columns, *[own[name].alias(name) for name in moment_names(columns, pairs)])
+    return with_prefix(rows, keys, partials, merge, prepare)
 
 
 def moment_names(columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> list[str]:
@@ -146,8 +159,7 @@ def group_moments(
     n = F.count(F.lit(1)).cast("double")
     aggregates = [n.alias("_n"), *[F.avg(c).alias(f"_mean_{c}") for c in columns]]
     for a, b in pairs:
-        spread = F.var_pop(a) if a == b else F.covar_pop(a, b)
-        aggregates.append((spread * n).alias(f"_m2_{a}_{b}"))
+        aggregates.append((_spread(a, b) * n).alias(f"_m2_{a}_{b}"))
     return df.groupBy(*keys).agg(*aggregates)
 
 
