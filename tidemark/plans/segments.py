@@ -26,8 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-STEP = 16
-SEGMENTS = STEP * STEP
+SEGMENTS = 256
 SEG = "_seg"
 HALO = "_halo"
 
@@ -71,14 +70,6 @@ def hot_keys(df: DataFrame, keys: Sequence[str], split: Split = DEFAULT_SPLIT) -
     )
 
 
-def _position(cuts: Column, value: Column) -> Column:
-    """How many of the sorted cuts lie below value, looked up in two steps of 16."""
-    coarse_cuts = F.array(*[F.get(cuts, F.lit(STEP * i - 1)) for i in range(1, STEP)])
-    coarse = F.size(F.filter(coarse_cuts, lambda c: c < value))
-    fine = F.size(F.filter(F.slice(cuts, coarse * STEP + 1, F.lit(STEP)), lambda c: c < value))
-    return coarse * STEP + fine
-
-
 def segment_rows(
     df: DataFrame, keys: Sequence[str], lead: str, split: Split = DEFAULT_SPLIT
 ) -> DataFrame:
@@ -112,8 +103,14 @@ def segment_rows(
 
 
 def _add_segment(df: DataFrame, lead: str) -> DataFrame:
-    found = _position(F.col("_cuts"), F.col(lead))
-    return df.withColumn(SEG, F.when(F.col("_cuts").isNotNull(), found)).drop("_cuts")
+    """Count the cuts below ``lead`` by bisection, one generated step per power of two."""
+    rows = df.withColumn(SEG, F.lit(0))
+    step = SEGMENTS // 2
+    while step:
+        below = F.get("_cuts", F.col(SEG) + (step - 1)) < F.col(lead)
+        rows = rows.withColumn(SEG, F.col(SEG) + F.when(below, step).otherwise(0))
+        step //= 2
+    return rows.withColumn(SEG, F.when(F.col("_cuts").isNotNull(), F.col(SEG))).drop("_cuts")
 
 
 def group_columns(rows: DataFrame, keys: Sequence[str]) -> list[str]:
