@@ -123,6 +123,43 @@ def renyi_entropy(probabilities: Column | str, alpha: float = 2.0, base: float =
     return _normalised(probabilities, bits)
 
 
+def softmax_entropies(scores: Column | str, base: float = 2.0) -> Column:
+    """Shannon and order-2 Renyi entropy of the softmax as ``struct<shannon, renyi_2>``.
+
+    The same values as ``shannon_entropy(softmax(s))`` and ``renyi_entropy``, but
+    from the unscaled weights in one pass: with ``z = sum(w)`` they are
+    ``ln z - sum(w ln w) / z`` and ``2 ln z - ln sum(w^2)``.
+    """
+    s = _col(scores)
+    unit = math.log(base)
+
+    def entropies(weights: Column) -> Column:
+        def add(floor: Column) -> Callable[[Column, Column], Column]:
+            def step(acc: Column, w: Column) -> Column:
+                kept = F.struct(
+                    (acc["z"] + w).alias("z"),
+                    (acc["h"] + w * F.log(w)).alias("h"),
+                    (acc["q"] + w * w).alias("q"),
+                )
+                return F.when(w > floor, kept).otherwise(acc)
+
+            return step
+
+        def finish(acc: Column) -> Column:
+            log_z = F.log(acc["z"])
+            return F.struct(
+                ((log_z - acc["h"] / acc["z"]) / unit).alias("shannon"),
+                ((2.0 * log_z - F.log(acc["q"])) / unit).alias("renyi_2"),
+            )
+
+        zero = F.struct(*[F.lit(0.0).alias(n) for n in ("z", "h", "q")])
+        return let(
+            total(weights) * TINY, lambda floor: F.aggregate(weights, zero, add(floor), finish)
+        )
+
+    return let(F.array_max(s), lambda top: let(F.transform(s, lambda x: F.exp(x - top)), entropies))
+
+
 def plane_covariance(planes: list[Column | str], first: int = 64) -> dict[str, Column]:
     """Sample covariances of three planes over their first ``first`` positions.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores
-from tidemark.functions.arrays import renyi_entropy, shannon_entropy, softmax
+from tidemark.functions.arrays import softmax_entropies
 from tidemark.plans.joins import join_per_key
 from tidemark.plans.running import (
     group_moments,
@@ -158,11 +158,10 @@ def prediction_stability(
     df: DataFrame, score_column: str, *, limit: float = scores.ENTROPY_LIMIT, base: float = 2.0
 ) -> DataFrame:
     """Add ``entropy is_stable renyi_entropy`` of the softmax of a score array."""
-    rows = df.withColumn("_p", softmax(score_column))
-    rows = rows.withColumns(
-        {"entropy": shannon_entropy("_p", base), "renyi_entropy": renyi_entropy("_p", 2.0, base)}
-    )
-    return rows.withColumn("is_stable", scores.is_stable(F.col("entropy"), limit)).drop("_p")
+    rows = df.withColumn("_e", softmax_entropies(score_column, base))
+    found = {"entropy": F.col("_e.shannon"), "renyi_entropy": F.col("_e.renyi_2")}
+    found["is_stable"] = scores.is_stable(found["entropy"], limit)
+    return rows.withColumns(found).drop("_e")
 
 
 def cold_start(
