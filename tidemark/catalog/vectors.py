@@ -138,7 +138,7 @@ SELECT vec_id, {r('-log2(sum(p * p))', 'order_2')}, {r('2.0 * log2(sum(sqrt(p)))
 FROM ({_SQUARES_SQL}) GROUP BY vec_id"""
 
 
-def _planes(df: DataFrame) -> dict:
+def _planes(df: DataFrame) -> tuple[DataFrame, dict]:
     whole = arrays.fit_length("v", 3 * PLANE)
     rows = df.select("vec_id", *[F.slice(whole, 1 + PLANE * i, PLANE).alias(f"p{i}") for i in range(3)])
     return rows, arrays.plane_covariance(["p0", "p1", "p2"])
