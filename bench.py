@@ -79,7 +79,7 @@ def run_once(spark: SparkSession, query, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     known = all_queries()
     chosen = os.environ.get("BENCH_QUERIES", "")
     names = list(known) if chosen == "all" else chosen.split(",") if chosen else HEADLINE
