@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, exact_dedup, packing, sharding, token_counts, url_filter
+from tidemark.llm import byte_bpe, exact_dedup, fingerprints, packing, sharding, token_counts, url_filter
 from tidemark.llm.common import documents
 
 
@@ -36,6 +37,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary, capacity=4096, closing=1)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.fingerprint_documents(documents(spark, sf_dir))
+    # lists as text, so that every engine writes them alike
+    written = [F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("changed_sections", "changed_paragraphs")]
+    return found.select(*[c for c in found.columns if not c.startswith("changed_")], *written)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(documents(spark, sf_dir))
     return placed.select(
@@ -54,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_packing": op6_packing,
+    "op7_fingerprints": op7_fingerprints,
     "op8_sharding": op8_sharding,
     "op10_url_filter": op10_url_filter,
 }
@@ -71,4 +80,51 @@ SQL: dict[str, str] = {
                place = 1 AS kept, text_sha256
         FROM best
     """,
+    "op7_fingerprints": r"""
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+        pairs AS (
+            SELECT *, coalesce(lead(body) OVER w, first_value(body) OVER w) AS following
+            FROM texts WINDOW w AS (ORDER BY doc_id DESC NULLS LAST)),
+        edits AS (
+            SELECT *, length(body) AS n_chars,
+                   substr(body, 1, length(body) - length(body) // 3)
+                   || substr(following, 1, length(body) // 3) AS edited FROM pairs),
+        parts AS (
+            SELECT *, LEAVES(body) AS a, LEAVES(edited) AS b, LEAVES(following) AS c,
+                   LINES(body) AS lines, LINES(edited) AS edited_lines FROM edits),
+        nodes AS (SELECT *, SECTIONS(lines) AS secs, SECTIONS(edited_lines) AS edited_secs FROM parts)
+        SELECT doc_id, n_chars, sha256(edited) AS edited_sha256,
+               sha256(array_to_string(secs, '')) AS fingerprint,
+               sha256(array_to_string(edited_secs, '')) AS edited_fingerprint,
+               NEAR(a, b) AS near_edited, NEAR(a, c) AS near_next,
+               CHANGED(secs, edited_secs) AS changed_sections,
+               CHANGED(lines, edited_lines) AS changed_paragraphs
+        FROM nodes
+    """,
 }
+
+
+def _expand(sql: str, name: str, body: str) -> str:
+    """Replace ``name(x, y)`` by ``body`` with ``$1`` and ``$2`` filled in."""
+    def fill(found: re.Match) -> str:
+        out = body
+        for k, part in enumerate(found[1].split(", "), 1):
+            out = out.replace(f"${k}", part)
+        return out
+
+    return re.sub(rf"\b{name}\(([^()]*)\)", fill, sql)
+
+
+for _name, _body in {
+    "LEAVES": "list_transform(regexp_extract_all($1, '%s'), lambda x: ('0x' || md5(x)[1:15])::BIGINT)"
+    % fingerprints.LEAF_PATTERN,
+    "LINES": r"list_transform(string_split($1, chr(10)), lambda x: sha256(x))",
+    "SECTIONS": f"list_transform(range((len($1) + {fingerprints.SECTION - 1}) // {fingerprints.SECTION}), "
+    f"lambda k: sha256(array_to_string($1[k * {fingerprints.SECTION} + 1 : (k + 1) * {fingerprints.SECTION}], '')))",
+    "NEAR": "CASE WHEN len($1) = 0 AND len($2) = 0 THEN 1.0::DOUBLE ELSE greatest("
+    "len(list_filter(range(1, least(len($1), len($2)) + 1), lambda k: $1[k] = $2[k])) / greatest(len($1), len($2)), "
+    "(2 * len(list_distinct(list_intersect($1, $2)))) / (len(list_distinct($1)) + len(list_distinct($2)))) END",
+    "CHANGED": "array_to_string(list_transform(list_filter(range(1, greatest(len($1), len($2)) + 1), "
+    "lambda k: $1[k] IS DISTINCT FROM $2[k]), lambda k: k - 1), ' ')",
+}.items():
+    SQL["op7_fingerprints"] = _expand(SQL["op7_fingerprints"], _name, _body)
