@@ -52,7 +52,7 @@ RESEMBLES = {
 }
 #: Costs in nats of reading a sign as a letter, of dropping it or breaking the word at it, and the same for a
 #: sign that resembles no letter; of dropping a letter of a run of three or more, and of a pair.
-AS_LETTER, DROPPED, BROKEN = 0.7, 6.5, 7.0
+AS_LETTER, DROPPED, BROKEN = 0.7, 9.0, 9.0
 MARK_DROPPED, MARK_BROKEN = 0.7, 2.0
 REPEATED, PAIR = 0.5, 5.0
 
