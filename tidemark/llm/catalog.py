@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, exact_dedup, fingerprints, ngram_join, packing, sharding, token_counts, toxicity, url_filter
+from tidemark.llm import byte_bpe, exact_dedup, fingerprints, lm_scoring, ngram_join, packing, sharding, token_counts, toxicity, url_filter
 from tidemark.llm.common import documents
 
 
@@ -62,6 +62,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return lm_scoring.score(documents(spark, sf_dir), held_out)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = url_filter.fit(spark)
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), model)
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_fingerprints": op7_fingerprints,
     "op8_sharding": op8_sharding,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_url_filter": op10_url_filter,
 }
 
