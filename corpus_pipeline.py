@@ -1,6 +1,59 @@
-"""A cleaning pipeline over the documents: toxicity, exact copies, near copies, packing."""
+"""A cleaning pipeline over the documents: toxicity, exact copies, near copies, packing.
+
+Every stage takes ``(spark, docs, sf_dir)`` and works on all that the one before
+kept; its result is written as Parquet and read again for the next.  All but
+the last stage return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-PIPELINE_QUERIES: dict = {}
-PIPELINE_SQL: dict = {}
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import exact_dedup, ngram_join, packing, toxicity
+from tidemark.llm.common import documents
+from tidemark.session import stored
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose toxicity score is 0.3 or more, learned from the training labels."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, model, threshold=0.3)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, white space aside, keep the longest, then the smallest id."""
+    return exact_dedup.drop_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group linked by a Jaccard similarity of 0.75 of five-word shingles keep the smallest id."""
+    return ngram_join.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the remaining documents into sequences of 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, closing=1)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("ngram_join", drop_near_copies),
+    ("packing", pack),
+]
+
+#: No SQL for trained scores and token ids; the tests compare with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, over the whole documents table."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+PIPELINE_QUERIES = {"pipeline": run}
+PIPELINE_SQL = {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
