@@ -19,6 +19,7 @@ other columns.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tidemark.llm.common import text_or_empty
-from tidemark.llm.word_tokens import BYTE_TABLE, Recent, as_byte_characters, texts
+from tidemark.llm.word_tokens import BYTE_TABLE, KEPT_CHUNKS, Recent, as_byte_characters, texts
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -67,15 +68,22 @@ class ByteTokens:
         ranks = read_ranks(path)
         self.model = model_of(ranks)
         self.matches = regex.compile(pattern).findall
-        self.spaced = Recent(lambda chunk: self._ids(" " + chunk))
+        self.spaced = Recent(self._spaced)
+        self.pieces = Recent(self._piece, KEPT_CHUNKS // 2)
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             self.sizes[rank] = len(token)
 
+    def _piece(self, piece: str) -> bytes:
+        return array("i", [t.id for t in self.model.tokenize(as_byte_characters(piece))]).tobytes()
+
     def _ids(self, text: str) -> bytes:
-        merge = self.model.tokenize
-        ids = [t.id for piece in self.matches(text) for t in merge(as_byte_characters(piece))]
-        return np.array(ids, "<i4").tobytes()
+        pieces = self.pieces
+        return b"".join([pieces[piece] for piece in self.matches(text)])
+
+    def _spaced(self, chunk: str) -> bytes:
+        # letters alone are one match with the space before them
+        return self._piece(" " + chunk) if chunk.isalpha() and chunk.isascii() else self._ids(" " + chunk)
 
     def ids(self, text: str) -> bytes:
         """The ids of a text as 32-bit numbers."""
@@ -87,7 +95,7 @@ class ByteTokens:
 
 
 _LOADED: dict[tuple[str, str], ByteTokens] = {}
-_TABLES: dict[str, list[bytes]] = {}
+_TABLES: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
 def encode(
@@ -131,11 +139,21 @@ def decode(df: DataFrame, ranks_path: str, ids_column: str = "ids", into: str =
             table = [b""] * (max(ranks.values()) + 1)
             for token, rank in ranks.items():
                 table[rank] = token
-            _TABLES[ranks_path] = table
-        token = _TABLES[ranks_path].__getitem__
+            sizes = np.array([len(t) for t in table], np.int64)
+            _TABLES[ranks_path] = np.frombuffer(b"".join(table), np.uint8), np.cumsum(sizes) - sizes, sizes
+        flat, first, sizes = _TABLES[ranks_path]
         for batch in batches:
-            lists = (ids.as_py() for ids in batch.column(place))
-            found = [None if ids is None else b"".join(map(token, ids)) for ids in lists]
+            found = []
+            for ids in batch.column(place):
+                if not ids.is_valid:
+                    found.append(None)
+                    continue
+                ids = ids.values.to_numpy(zero_copy_only=False)
+                size = sizes[ids]
+                ends = np.cumsum(size)
+                # the place in the table of every byte
+                at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[ids] - ends + size, size)
+                found.append(flat[at].tobytes())
             columns = [*batch.columns, pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, into])
 

@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import regex
 
 #: Chunks kept per worker, twice over; longer chunks are not kept.
-KEPT_CHUNKS = 200_000
+KEPT_CHUNKS = 400_000
 KEPT_LENGTH = 48
 
 # Fixed value: the pre-tokenizer's pattern in the vocabulary file.
@@ -89,6 +89,7 @@ class WordTokens:
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
         self.recent = Recent(self._chunk)
+        self.words = Recent(self._word, KEPT_CHUNKS // 2)
 
     def pieces(self, chunk: str) -> list[str] | None:
         """The byte-character words of a plain chunk; None when the library has to see the chunk."""
@@ -104,13 +105,15 @@ class WordTokens:
     def _library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
     def _chunk(self, chunk: str) -> bytes:
         found = self.pieces(chunk)
         if found is None:
-            ids = self._library(chunk)
-        else:
-            ids = [t.id for piece in found for t in self.model.tokenize(piece)]
-        return array("I", ids).tobytes()
+            return array("I", self._library(chunk)).tobytes()
+        words = self.words
+        return b"".join([words[word] for word in found])
 
     def ids(self, text: str) -> bytes:
         """The ids of a text as unsigned 32-bit numbers."""
@@ -127,12 +130,15 @@ class WordCounts(WordTokens):
         super().__init__(path)
         self.whole = whole
 
+    def _word(self, word: str) -> int:
+        return len(self.model.tokenize(word))
+
     def _chunk(self, chunk: str) -> int:
         found = self.pieces(chunk)
         if found is None:
             return len(self._library(chunk))
-        whole, merge = self.whole, self.model.tokenize
-        return sum(1 if piece in whole else len(merge(piece)) for piece in found)
+        whole, words = self.whole, self.words
+        return sum([1 if word in whole else words[word] for word in found])
 
     def count(self, text: str) -> int:
         if any(c in text for c in SEPARATORS):
