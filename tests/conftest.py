@@ -34,7 +34,7 @@ def sf_dir():
 
 @pytest.fixture
 def split_everything(monkeypatch):
-    """Treat every key with more than 20 rows (and 0.1%) as hot."""
+    """Treat every key with more than 20 rows as hot."""
     from tidemark.plans.segments import DEFAULT_SPLIT
 
     before = DEFAULT_SPLIT.hot_rows

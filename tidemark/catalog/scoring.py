@@ -172,13 +172,14 @@ def baseline_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = rows.filter(F.col("event_type") == "signup")
     batch = rows.filter(F.col("event_type") != "signup")
     seeded = scoring.seed_baseline(batch, known)
-    found = scoring.review(seeded, KEYS, ORDER, FEATURES, "score_array")
+    found = scoring.review(seeded, KEYS, [scoring.BEFORE, *ORDER], FEATURES, "score_array")
     return found.filter(~F.col("is_baseline")).select(
         "event_id", "record_count", *FLAGS, *rounded(*METRICS, digits=4)
     )
 
 
-BASELINE_REVIEW_SQL = f"{REVIEW_SQL} WHERE event_type <> 'signup'"
+_HISTORY_FIRST = REVIEW_SQL.replace("ORDER BY ts", "ORDER BY event_type <> 'signup', ts")
+BASELINE_REVIEW_SQL = f"{_HISTORY_FIRST} WHERE event_type <> 'signup'"
 
 
 QUERIES = {

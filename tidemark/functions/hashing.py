@@ -48,7 +48,16 @@ def random_projection(
 
     @F.pandas_udf("array<double>")
     def project(vectors: pd.Series) -> pd.Series:
-        block = np.stack(vectors.to_numpy()).astype(np.float64) if len(vectors) else np.zeros((0, dim_in))
-        return pd.Series(list(np.tanh(block @ kernel + bias)))
+        return on_vectors(vectors, lambda block: np.tanh(block @ kernel + bias))
 
     return project
+
+
+def on_vectors(vectors: pd.Series, work: Callable[[np.ndarray], np.ndarray]) -> pd.Series:
+    """Rows of ``work`` on the stacked vectors; NULL for a NULL vector."""
+    there = vectors.notna().to_numpy()
+    found = [None] * len(vectors)
+    if there.any():
+        for at, row in zip(there.nonzero()[0], work(np.stack(vectors[there].to_numpy()).astype(np.float64))):
+            found[at] = row
+    return pd.Series(found, dtype="object")

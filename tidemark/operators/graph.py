@@ -159,6 +159,8 @@ def pagerank(
     if direction not in ("reverse", "forward"):
         raise ValueError("direction must be 'reverse' or 'forward'")
     giver, taker = ("target", "source") if direction == "reverse" else ("source", "target")
+    # a NULL key is no graph, a NULL node no node
+    edges, nodes = edges.dropna(subset=[*keys, "source", "target"]), nodes.dropna(subset=[*keys, "node"])
     pairs = adjacency(edges, nodes, keys)
     arcs = pairs.select(*keys, F.col(giver).alias("_from"), F.col(taker).alias("_to"))
     if not keys:

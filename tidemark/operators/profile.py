@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores
+from tidemark.functions.hashing import on_vectors
 from tidemark.functions.arrays import doubles
 
 RIDGE = 1e-6
@@ -40,7 +41,9 @@ class Profile:
 
 def _moments(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Mean, population covariance and count, aggregated by Spark ML as trees."""
-    rows = df.select(array_to_vector(doubles(vector)).alias("v")).filter(F.col("v").isNotNull())
+    # a NULL vector, or one with a NULL in it, is no part of a profile
+    whole = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+    rows = df.filter(whole).select(array_to_vector(doubles(vector)).alias("v"))
     if rows.isEmpty():
         raise ValueError("a profile needs at least one vector")
     metrics = Summarizer.metrics("mean", "std", "count").summary(F.col("v"))
@@ -73,16 +76,21 @@ def fit_profile(df: DataFrame, vector: str, *, ridge: float = RIDGE) -> Profile:
 def score_profile(
     df: DataFrame, vector: str, profile: Profile, *, limit: float = scores.DISTANCE_LIMIT
 ) -> DataFrame:
-    """Add ``mahalanobis_distance is_ood profile_condition``; no shuffle."""
+    """Add ``mahalanobis_distance is_ood profile_condition``; no shuffle.  A NULL vector has no distance."""
     mean, precision = profile.mean, profile.precision
 
     @F.pandas_udf("double")
     def distance(vectors: pd.Series) -> pd.Series:
         if not len(vectors):
             return pd.Series([], dtype="float64")
-        gaps = np.stack(vectors.to_numpy()) - mean
-        squared = np.einsum("ni,ni->n", gaps @ precision, gaps)
-        return pd.Series(np.sqrt(np.clip(squared, 0.0, None)))
+        there = vectors.notna()
+        found = pd.Series(np.full(len(vectors), None), dtype="object")
+        if there.any():
+            gaps = np.stack(vectors[there].to_numpy()).astype(float) - mean
+            squared = np.einsum("ni,ni->n", gaps @ precision, gaps)
+            distances = np.sqrt(np.clip(squared, 0.0, None))
+            found[there.to_numpy()] = [None if np.isnan(x) else x for x in distances]
+        return found
 
     rows = df.withColumn("mahalanobis_distance", distance(doubles(vector)))
     return rows.withColumns(
@@ -134,6 +142,6 @@ def latent_factors(df: DataFrame, vector: str, k: int) -> tuple[DataFrame, np.nd
     def rotate(vectors: pd.Series) -> pd.Series:
         if not len(vectors):
             return pd.Series([], dtype="object")
-        return pd.Series(list(np.stack(vectors.to_numpy()) @ basis))
+        return on_vectors(vectors, lambda block: block @ basis)
 
     return df.withColumn("factors", rotate(doubles(vector))), singular

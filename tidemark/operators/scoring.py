@@ -24,6 +24,8 @@ from tidemark.plans.running import (
 from tidemark.plans.segments import DEFAULT_SPLIT, Split
 
 RIDGE = 1e-6
+#: Order column of ``seed_baseline``: 0 for history, 1 for the batch.
+BEFORE = "batch_place"
 
 
 def _z_columns(value: Column, n: Column, mean: Column, m2: Column, limit: float) -> dict[str, Column]:
@@ -99,9 +101,9 @@ def _batch_quadratic_form(d: int, ridge: float):
     def solve(gaps: pd.Series, packed: pd.Series) -> pd.Series:
         if not len(gaps):
             return pd.Series([], dtype="float64")
-        g = np.stack(gaps.to_numpy())
+        g = np.stack(gaps.to_numpy()).astype(float)
         matrices = np.zeros((len(g), d, d))
-        matrices[:, upper[0], upper[1]] = np.stack(packed.to_numpy())
+        matrices[:, upper[0], upper[1]] = np.stack(packed.to_numpy()).astype(float)
         matrices[:, upper[1], upper[0]] = matrices[:, upper[0], upper[1]]
         matrices += ridge * np.eye(d)
         try:
@@ -265,8 +267,11 @@ def review(
     Distance and z-score (of the mean feature) come from one window, hence one
     shuffle.  ``id_column`` names the record id where ids can repeat; without it
     every row counts as a new record.  ``prior`` holds what ``review_moments``
-    gave for all earlier rows of the keys.
+    gave for all earlier rows of the keys; it does not hold their ids, so it cannot go with
+    ``id_column``.  A row with a NULL feature has a NULL verdict and counts for no other row.
     """
+    if id_column is not None and prior is not None:
+        raise ValueError("prior moments hold no record ids: leave out id_column")
     columns, pairs = _review_columns(features)
     rows = running_moments(
         _with_flat(df, features), keys, order_by, columns, pairs=pairs, split=split
@@ -283,7 +288,8 @@ def review(
     z = _z_columns(F.col("_flat"), n, F.col("_mean__flat"), F.col("_m2__flat__flat"), z_limit)
     rows = rows.withColumns({"mahalanobis_distance": _distance(features, n, ridge, 1), **z})
     rows = rows.withColumn("is_ood", scores.is_ood(F.col("mahalanobis_distance"), distance_limit))
-    rows = rows.withColumn("record_count", (n - 1).cast("bigint"))
+    own = F.when(F.col("_flat").isNotNull(), 1).otherwise(0)
+    rows = rows.withColumn("record_count", (n - own).cast("bigint"))
     rows = rows.withColumn("is_cold_start", F.col("record_count") < needed)
     metrics = ["mahalanobis_distance", *z, "is_ood"]
     if id_column is not None:
@@ -311,9 +317,9 @@ def seed_baseline(batch: DataFrame, baseline: DataFrame, store: DataFrame | None
     """Put history before a batch, marked ``is_baseline``, for scoring with ``review``.
 
     The rows of ``store`` are the history when it has any, otherwise those of
-    ``baseline``.  Score the result, then keep ``~is_baseline``.
+    ``baseline``.  Score the result with ``BEFORE`` as the first order column, which puts all
+    history of a key before its batch whatever the other order columns say, then keep ``~is_baseline``.
     """
     history = baseline if store is None or store.isEmpty() else store
-    return history.withColumn("is_baseline", F.lit(True)).unionByName(
-        batch.withColumn("is_baseline", F.lit(False))
-    )
+    both = history.withColumn("is_baseline", F.lit(True)).unionByName(batch.withColumn("is_baseline", F.lit(False)))
+    return both.withColumn(BEFORE, F.when(F.col("is_baseline"), 0).otherwise(1))

@@ -63,16 +63,18 @@ def group_divergence(
 ) -> DataFrame:
     """Add ``rms_divergence``, each vector's root mean square distance to the rest of its key.
 
-    The sum of squared distances from x to n vectors is
-    ``n|x|^2 + sum|y|^2 - 2 x.sum(y)``, so group totals replace the all-pairs
-    matrix.  All vectors must have one length.
+    The squared distances from x to n vectors add up to ``n|x - c|^2 + sum|y - c|^2``
+    with their mean c, so totals per key replace the all-pairs matrix, and an
+    offset that all vectors share cancels before squaring.  All vectors must have one length.
     """
-    squared = dot(doubles(vector), doubles(vector))
     stats = _position_sums(df, keys, vector)
     rows = join_per_key(df, stats, keys, [id_column], split=split)
+    gap = F.transform(doubles(vector), lambda x, i: x - F.get("_sum", i) / F.col("_n"))
+    rows = rows.select(*df.columns, "_n", gap.alias("_gap")).withColumn("_own", dot(F.col("_gap"), F.col("_gap"))).drop("_gap")
+    totals = rows.groupBy(*keys).agg(F.sum("_own").alias("_all"))
+    rows = join_per_key(rows, totals, keys, [id_column], split=split)
     n = F.col("_n")
-    total = n * squared + F.col("_sq") - 2 * dot(doubles(vector), F.col("_sum"))
-    mean = F.greatest(total, F.lit(0.0)) / (n - 1)
+    mean = (n * F.col("_own") + F.col("_all")) / F.greatest(n - 1, F.lit(1))
     return rows.select(*df.columns, F.when(n < 2, 0.0).otherwise(F.sqrt(mean)).alias("rms_divergence"))
 
 

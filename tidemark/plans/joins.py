@@ -7,40 +7,38 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.segments import DEFAULT_SPLIT, SEGMENTS, Split, hot_keys, join_keys
+from tidemark.plans.segments import DEFAULT_SPLIT, Split, hot_keys, join_keys
 
 SALT = "_salt"
 
 
 def find_hot(rows: DataFrame, keys: Sequence[str], split: Split = DEFAULT_SPLIT) -> DataFrame | None:
-    """The hot keys of a table as a local list, or None where there are none."""
+    """The hot keys of a table with their number of pieces as a local list, or None where there are none."""
     if split.hot_rows is None:
         return None
-    found = hot_keys(rows, keys, split).select(*keys)
-    hot = found.collect()  # fewer than 1 / hot_share rows
+    found = hot_keys(rows, keys, split).select(*keys, "_pieces")
+    hot = found.collect()  # at most most_pieces rows
     if not hot:
         return None
     listed = rows.sparkSession.createDataFrame(hot, found.schema)
-    return listed.withColumn("_hot", F.lit(True))
+    return listed
 
 
 def _mark(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
-    side = join_keys(df, hot, keys, "left", small=True)
-    return side.withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    return join_keys(df, hot, keys, "left", small=True)
 
 
 def spread_rows(df: DataFrame, hot: DataFrame, keys: Sequence[str], spread: Sequence[str]) -> DataFrame:
     """Add a salt that divides each hot key by the hash of the ``spread`` columns."""
-    salt = F.pmod(F.xxhash64(*spread), F.lit(SEGMENTS)).cast("int")
-    rows = _mark(df, hot, keys).withColumn(SALT, F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
-    return rows.drop("_hot")
+    salt = F.pmod(F.xxhash64(*spread), F.col("_pieces")).cast("int")
+    rows = _mark(df, hot, keys).withColumn(SALT, F.coalesce(salt, F.lit(0)))
+    return rows.drop("_pieces")
 
 
 def copy_rows(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Repeat the rows of hot keys once for every salt."""
-    every = F.sequence(F.lit(0), F.lit(SEGMENTS - 1))
-    copies = F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))
-    return _mark(df, hot, keys).withColumn(SALT, F.explode(copies)).drop("_hot")
+    every = F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1)
+    return _mark(df, hot, keys).withColumn(SALT, F.explode(every)).drop("_pieces")
 
 
 def join_per_key(
@@ -55,7 +53,7 @@ def join_per_key(
     """Join ``per_key`` (one row per key) to ``rows`` on ``keys``.
 
     Spark chooses between broadcast and shuffle by size.  Rows of a hot key are
-    spread over 256 salts by the hash of the ``spread`` columns, which should
+    spread over one salt per piece (``Split``) by the hash of the ``spread`` columns, which should
     tell the rows of a key apart, and the row of that key is repeated for each.
     """
     hot = find_hot(rows, keys, split)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -31,7 +32,7 @@ def running_sums(
 ) -> DataFrame:
     """Add running sums, one new column per entry of ``sums``."""
     values = {f"_v_{name}": c for name, c in sums.items()}
-    rows = segment_rows(df.withColumns(values), keys, order_by[0], split)
+    rows = segment_rows(df.withColumns(values), keys, order_by, split)
     end = Window.currentRow if include_self else -1
     frame = segment_window(rows, keys, order_by).rowsBetween(Window.unboundedPreceding, end)
     rows = with_prefix(
@@ -64,25 +65,25 @@ def running_moments(
 ) -> DataFrame:
     """Add ``_n``, ``_mean_<c>`` and ``_m2_<a>_<b>`` (sums of centred products).
 
-    ``pairs`` picks the products; by default every pair.  Values are expected
-    to be non-NULL.  Earlier segments enter by the parallel variance formula,
+    ``pairs`` picks the products; by default every pair.  A row counts when all
+    its columns have values; before the first such row ``_n`` and the means are 0.  Earlier segments enter by the parallel variance formula,
     so nothing is summed uncentred.
     """
     pairs = pair_names(columns) if pairs is None else list(pairs)
     names = moment_names(columns, pairs)
-    rows = segment_rows(df, keys, order_by[0], split)
+    rows = segment_rows(df, keys, order_by, split)
     if SEG in rows.columns:
         rows = _with_earlier_moments(rows, keys, columns, pairs)
     end = Window.currentRow if include_self else -1
     frame = segment_window(rows, keys, order_by).rowsBetween(Window.unboundedPreceding, end)
 
     def so_far(value: Column) -> Column:
-        found = value.over(frame)
-        return found if include_self else F.coalesce(found, F.lit(0.0))
+        return F.coalesce(value.over(frame), F.lit(0.0))
 
-    n = F.count(F.lit(1)).over(frame).cast("double")
-    own = [n, *[so_far(F.avg(c)) for c in columns]]
-    own += [so_far(_spread(a, b)) * n for a, b in pairs]
+    value = valued(columns)
+    n = _counted(columns).over(frame).cast("double")
+    own = [n, *[so_far(F.avg(value[c])) for c in columns]]
+    own += [so_far(_spread(value, a, b)) * n for a, b in pairs]
     if SEG not in rows.columns:
         return rows.select(*df.columns, *[c.alias(name) for c, name in zip(own, names)])
     rows = rows.withColumns({f"_own{name}": c for c, name in zip(own, names)})
@@ -95,27 +96,39 @@ def running_moments(
     return rows.select(*df.columns, *[merged[name].alias(name) for name in names])
 
 
-def _spread(a: str, b: str) -> Column:
-    return F.var_pop(a) if a == b else F.covar_pop(a, b)
+def valued(columns: Sequence[str]) -> dict[str, Column]:
+    """The columns, NULL in rows where any of them is NULL."""
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    return {c: F.when(whole, F.col(c)) for c in columns}
+
+
+def _counted(columns: Sequence[str]) -> Column:
+    return F.count(valued(columns)[columns[0]])
+
+
+def _spread(value: dict[str, Column], a: str, b: str) -> Column:
+    return F.var_pop(value[a]) if a == b else F.covar_pop(value[a], value[b])
 
 
 def _with_earlier_moments(
     rows: DataFrame, keys: Sequence[str], columns: Sequence[str], pairs: Sequence[tuple[str, str]]
 ) -> DataFrame:
     """Add the moments of all earlier segments of the key, ``_earlier_...``."""
-    partials = {"n": F.count(F.lit(1)).cast("double")}
-    partials |= {f"mean_{c}": F.avg(c) for c in columns}
-    partials |= {f"cov_{a}_{b}": _spread(a, b) for a, b in pairs}
+    value, zero = valued(columns), F.lit(0.0)
+    partials = {"n": _counted(columns).cast("double")}
+    partials |= {f"mean_{c}": F.coalesce(F.avg(value[c]), zero) for c in columns}
+    partials |= {f"cov_{a}_{b}": F.coalesce(_spread(value, a, b), zero) for a, b in pairs}
     # segments are centred on the key's own mean before squares are added
     whole = Window.partitionBy(*keys)
     prepare = {f"off_{c}": F.col(f"mean_{c}") - F.avg(f"mean_{c}").over(whole) for c in columns}
 
     def merge(earlier: WindowSpec) -> dict[str, Column]:
         total = F.sum("n").over(earlier)
-        off = {c: F.sum(F.col("n") * F.col(f"off_{c}")).over(earlier) / total for c in columns}
+        some = F.greatest(total, F.lit(1.0))
+        off = {c: F.sum(F.col("n") * F.col(f"off_{c}")).over(earlier) / some for c in columns}
         merged = {"_earlier_n": total}
         for c in columns:
-            merged[f"_earlier_mean_{c}"] = F.sum(F.col("n") * F.col(f"mean_{c}")).over(earlier) / total
+            merged[f"_earlier_mean_{c}"] = F.sum(F.col("n") * F.col(f"mean_{c}")).over(earlier) / some
         for a, b in pairs:
             inside = F.sum(F.col("n") * F.col(f"cov_{a}_{b}")).over(earlier)
             between = F.sum(F.col("n") * F.col(f"off_{a}") * F.col(f"off_{b}")).over(earlier)
@@ -155,11 +168,12 @@ def merge_moments(
 def group_moments(
     df: DataFrame, keys: Sequence[str], columns: Sequence[str], pairs: Sequence[tuple[str, str]]
 ) -> DataFrame:
-    """The moments of all rows of each key, one aggregation."""
-    n = F.count(F.lit(1)).cast("double")
-    aggregates = [n.alias("_n"), *[F.avg(c).alias(f"_mean_{c}") for c in columns]]
+    """The moments of each key's rows that have all values, one aggregation."""
+    value, zero = valued(columns), F.lit(0.0)
+    n = _counted(columns).cast("double")
+    aggregates = [n.alias("_n"), *[F.coalesce(F.avg(value[c]), zero).alias(f"_mean_{c}") for c in columns]]
     for a, b in pairs:
-        aggregates.append((_spread(a, b) * n).alias(f"_m2_{a}_{b}"))
+        aggregates.append((F.coalesce(_spread(value, a, b), zero) * n).alias(f"_m2_{a}_{b}"))
     return df.groupBy(*keys).agg(*aggregates)
 
 
@@ -180,7 +194,7 @@ def sliding_rows(
     """
     if size < 1:
         raise ValueError("size must be at least 1")
-    rows = segment_rows(df, keys, order_by[0], split)
+    rows = segment_rows(df, keys, order_by, split)
 
     def over(part: DataFrame, by: Sequence[str]) -> DataFrame:
         frame = Window.partitionBy(*by).orderBy(*order_by).rowsBetween(-(size - 1), 0)
@@ -212,7 +226,7 @@ def previous_values(
 ) -> DataFrame:
     """Add values of the row before (NULL on the first row of a key)."""
     values = {f"_v_{name}": c for name, c in columns.items()}
-    rows = segment_rows(df.withColumns(values), keys, order_by[0], split)
+    rows = segment_rows(df.withColumns(values), keys, order_by, split)
     rows = with_halo(rows, keys, order_by)
     order = segment_window(rows, keys, order_by)
     rows = rows.withColumns({name: F.lag(f"_v_{name}").over(order) for name in columns})
@@ -230,7 +244,7 @@ def latest_defined(
     split: Split = DEFAULT_SPLIT,
 ) -> DataFrame:
     """As-of lookup: add the latest non-NULL ``value`` up to (or before) each row."""
-    rows = segment_rows(df.withColumn("_v", value), keys, order_by[0], split)
+    rows = segment_rows(df.withColumn("_v", value), keys, order_by, split)
     rows = with_halo(rows, keys, order_by, keep=F.col("_v").isNotNull())
     end = Window.currentRow if include_self else -1
     frame = segment_window(rows, keys, order_by).rowsBetween(Window.unboundedPreceding, end)
