@@ -8,14 +8,12 @@ from tidemark.plans.segments import Split
 from tidemark.sources.nodes import source_nodes
 
 SOURCES = {
-    "warmup_0": "def _(): pass",
-    "warmup_1": "x = 10\ny = 20\nprint(x + y)",
-    "warmup_2": "def foo(a, b):\n    return a * b",
-    "warmup_3": "class Test:\n    def method(self): return True",
-    "warmup_4": "import math\nmath.sqrt(16)",
-    "module_a": "def foo(x): return x + 1",
-    "module_b": "class Bar:\n    def __init__(self):\n        self.x = 0",
-    "module_c": "def complex(n):\n    for i in range(n):\n        if i % 2 == 0: yield i",
+    "blank": "# nothing but a remark",
+    "sums": "price = 3\ntax = 2\nshare = price / (price + tax)",
+    "area": "def area(w, h):\n    size = w * h\n    return size",
+    "shelf": "class Shelf:\n    def put(self, book):\n        return [book]",
+    "roots": "from cmath import sqrt as root\nroot(-4)",
+    "highest": "def highest(rows):\n    best = 0\n    for row in rows:\n        if row > best: return row",
     "branchy": (
         "def f(a, b):\n"
         "    if a and b or a:\n"
@@ -66,21 +64,22 @@ def test_symbols_and_usages(nodes):
     def of(doc):
         return rows(found.filter(F.col("doc_id") == doc), "name", "node_type", "usage_count")
 
-    assert of("warmup_1") == [("x", "variable", 1), ("y", "variable", 1)]
-    assert of("module_a") == [("foo", "function", 0), ("x", "parameter", 1)]
-    assert of("module_b") == [("Bar", "class", 0), ("__init__", "function", 0), ("self", "parameter", 0)]
+    assert of("sums") == [("price", "variable", 2), ("share", "variable", 0), ("tax", "variable", 1)]
+    assert of("area") == [("area", "function", 0), ("h", "parameter", 1), ("size", "variable", 1), ("w", "parameter", 1)]
+    assert of("shelf") == [("Shelf", "class", 0), ("book", "parameter", 1), ("put", "function", 0), ("self", "parameter", 0)]
     # the iterable of a loop and the test of a branch are not counted
-    assert of("module_c") == [("complex", "function", 0), ("i", "loop_var", 1), ("n", "parameter", 0)]
+    assert of("highest") == [
+        ("best", "variable", 0), ("highest", "function", 0), ("row", "loop_var", 1), ("rows", "parameter", 0)
+    ]
     density = dict(rows(symbols.symbol_density(found), "doc_id", "density"))
-    assert density["warmup_1"] == 1.0 and density["module_a"] == 0.5 and density["module_b"] == 0.0
-    assert density["module_c"] == pytest.approx(1 / 3)
+    assert density["sums"] == 1.0 and density["area"] == 0.75 and density["shelf"] == 0.25
 
 
 def test_complexity(nodes):
     found = rows(symbols.cyclomatic_complexity(nodes), "doc_id", "name", "complexity")
-    assert ("module_a", "foo", 1) in found
-    assert ("module_b", "__init__", 1) in found
-    assert ("module_c", "complex", 3) in found
+    assert ("area", "area", 1) in found
+    assert ("shelf", "put", 1) in found
+    assert ("highest", "highest", 3) in found
     # if, with, assert, comprehension, while, or, and
     assert ("branchy", "f", 8) in found
     assert ("branchy", "g", 1) in found
@@ -92,10 +91,12 @@ def test_flow_edges(nodes):
     def of(doc):
         return rows(edges.filter(F.col("doc_id") == doc), "source", "target", "edge_type")
 
-    assert of("warmup_1") == [(1, 2, "assign")]
-    assert of("module_a") == []
-    assert of("module_b") == [(2, 3, "assign")]
-    assert of("module_c") == [(1, 2, "loop"), (2, 3, "branch"), (3, 2, "loop_back")]
+    assert of("sums") == [(1, 2, "assign"), (2, 3, "assign")]
+    assert of("area") == [(1, 2, "assign")]
+    assert of("shelf") == []
+    assert of("highest") == [
+        (1, 2, "assign"), (2, 3, "loop"), (3, 4, "branch"), (4, 3, "loop_back")
+    ]
     assert of("branchy") == [
         (1, 2, "branch"), (2, 5, "branch"), (2, 6, "loop"), (6, 7, "aug_assign"), (7, 8, "call"),
         (8, 6, "loop_back"),
@@ -103,10 +104,11 @@ def test_flow_edges(nodes):
 
 
 EXPECTED_RANKS = {
-    "warmup_1": {1: 0.138750, 2: 0.075},
-    "module_a": {1: 0.15},
-    "module_b": {1: 0.05, 2: 0.0925, 3: 0.05},
-    "module_c": {1: 0.111546, 2: 0.144814, 3: 0.111546},
+    # a chain: 0.15 / 3, and 0.85 of what the next one has
+    "sums": {1: 0.128625, 2: 0.0925, 3: 0.05},
+    "area": {1: 0.13875, 2: 0.075},
+    "shelf": {1: 0.075, 2: 0.075},
+    "highest": {1: 0.108611, 2: 0.083660, 3: 0.108611, 4: 0.083660},
 }
 
 
@@ -117,7 +119,7 @@ def test_pagerank(nodes, small_graph):
     iterations = 100 if small_graph else 60
     found = graph.pagerank(edges, places, ["doc_id"], small_graph=small_graph, iterations=iterations)
     got = {(r.doc_id, r.node): r["rank"] for r in found.collect()}
-    assert len(got) == 9
+    assert len(got) == 11
     for doc, ranks in EXPECTED_RANKS.items():
         for node, rank in ranks.items():
             assert got[doc, node] == pytest.approx(rank, abs=2e-6)
@@ -152,11 +154,11 @@ def test_pagerank_with_a_hot_node(spark):
 
 
 def test_laplacian(nodes):
-    places = graph.flow_nodes(nodes).filter("doc_id = 'module_c'")
+    places = graph.flow_nodes(nodes).filter("doc_id = 'highest'")
     pairs = graph.adjacency(graph.flow_edges(nodes), places, ["doc_id"])
     got = {(r["row"], r["col"]): r.value for r in graph.laplacian(pairs, places, ["doc_id"]).collect()}
-    dense = [[got.get((i, j), 0.0) for j in (1, 2, 3)] for i in (1, 2, 3)]
-    assert dense == [[1, -1, 0], [0, 1, -1], [0, -1, 1]]
+    dense = [[got.get((i, j), 0.0) for j in (1, 2, 3, 4)] for i in (1, 2, 3, 4)]
+    assert dense == [[1, -1, 0, 0], [0, 1, -1, 0], [0, 0, 1, -1], [0, 0, -1, 1]]
 
 
 def test_edges_to_unknown_nodes(spark):
@@ -194,14 +196,15 @@ def test_flags_of_missing_text(spark):
 
 
 def test_complexity_vector(nodes):
-    wanted = nodes.filter("doc_id IN ('module_c', 'warmup_4', 'broken')")
+    wanted = nodes.filter("doc_id IN ('highest', 'roots', 'broken')")
     got = {r.doc_id: r.complexity for r in features.complexity_vector(wanted).collect()}
-    assert set(got) == {"module_c", "warmup_4"}
+    assert set(got) == {"highest", "roots"}
     assert all(len(v) == 32 for v in got.values())
-    c = got["module_c"]
-    assert c[:4] == [1, 0, 0, 1] and c[6:8] == [3, 3]
-    assert c[8] == pytest.approx(0.122635, abs=1e-6) and c[9] == pytest.approx(0.015683, abs=1e-6)
-    assert got["warmup_4"] == [0.0] * 32
+    c = got["highest"]
+    assert c[:4] == [1, 0, 1, 1] and c[6:8] == [4, 4]
+    # ranks 0.108611, 0.083660, 0.108611 and 0.083660: node 3 gives half to each of its two sources
+    assert c[8] == pytest.approx(0.096135, abs=1e-6) and c[9] == pytest.approx(0.012475, abs=2e-6)
+    assert got["roots"] == [0.0] * 32
 
 
 def test_source_vectors(nodes):
@@ -209,5 +212,5 @@ def test_source_vectors(nodes):
     assert set(found) == set(SOURCES) - {"broken", "nul"}
     assert all(len(v) == 1408 for v in found.values())
     # the same text gives the same vector, whoever computes it
-    again = {r.doc_id: r.embedding for r in features.source_vectors(nodes.filter("doc_id = 'module_c'"), iterations=5).collect()}
-    assert again["module_c"] == pytest.approx(found["module_c"])
+    again = {r.doc_id: r.embedding for r in features.source_vectors(nodes.filter("doc_id = 'highest'"), iterations=5).collect()}
+    assert again["highest"] == pytest.approx(found["highest"])
