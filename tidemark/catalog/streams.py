@@ -89,7 +89,7 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = run_folder(spark, "upsert")
     _arrive(spark, sf_dir, folder, lambda stream: start_upsert(stream, folder, ["user_id"], scoring.ORDER))
-    found = read_store(spark, folder, ["user_id"], scoring.ORDER, SLICES)
+    found = read_store(spark, folder, ["user_id"], scoring.ORDER)
     return found.select("user_id", "event_id", "event_type", "value", "props")
 
 

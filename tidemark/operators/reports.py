@@ -97,6 +97,7 @@ def report_rows(reviewed: DataFrame, id_column: str, digits: int = 4) -> DataFra
 def confidence_alerts(reviewed: DataFrame, limit: float = scores.ALERT_CONFIDENCE) -> DataFrame:
     """ERROR rows for confidence below the limit, with level, message and threshold."""
     low = reviewed.filter(F.col("confidence") < limit)
+    # fixed value: the wording of the alert
     message = F.concat(F.lit("Confidence dropped to "), F.format_string("%.4f", "confidence"))
     return low.select(
         *reviewed.columns,

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,21 @@ def read_batches(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder).drop("batch_id")
 
 
+def pace(every: str | None) -> dict[str, bool | str]:
+    """A trigger: all that is available, then stop; or again after every interval such as ``"10 seconds"``."""
+    return {"availableNow": True} if every is None else {"processingTime": every}
+
+
+def batches_written(spark: SparkSession, folder: str) -> int:
+    """How many micro-batches have left their part; 0 without any."""
+    try:
+        parts = spark.read.parquet(f"{folder}/parts")
+    except AnalysisException:
+        return 0
+    last = parts.agg(F.max("batch_id")).head()[0] if "batch_id" in parts.columns else None
+    return 0 if last is None else int(last) + 1
+
+
 def state_before(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
     """The newest snapshot before a batch and the parts after it, told apart by ``part``."""
     if batch_id == 0:

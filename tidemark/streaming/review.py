@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions import scores
 from tidemark.operators import reports, scoring
 from tidemark.plans.segments import DEFAULT_SPLIT, Split
-from tidemark.streaming.batches import state_before, write_batch, write_state
+from tidemark.streaming.batches import pace, state_before, write_batch, write_state
 
 
 def stream_review(
@@ -30,13 +30,18 @@ def stream_review(
     *,
     initial: DataFrame | None = None,
     split: Split = DEFAULT_SPLIT,
+    every: str | None = None,
     **limits: float,
 ) -> StreamingQuery:
-    """Score everything available and stop: results in ``folder/scored``, state in ``folder/state``.
+    """Score a stream: results in ``folder/scored``, state in ``folder/state``.
+
+    It stops after everything available, or runs on ``every`` so often.
 
     ``initial`` holds the moments of stored vectors (``review_moments``) to go
     on from.  A later call with the same folder continues the stream.
     """
+    if "id_column" in limits:
+        raise ValueError("the state of a stream holds no record ids: leave out id_column")
     spark = stream.sparkSession
 
     def merged(parts: DataFrame) -> DataFrame:
@@ -62,7 +67,7 @@ def stream_review(
     return (
         stream.writeStream.foreachBatch(process)
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
+        .trigger(**pace(every))
         .start()
     )
 
@@ -72,7 +77,7 @@ def _initial_part(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_alerts(
-    reviewed: DataFrame, folder: str, limit: float = scores.ALERT_CONFIDENCE
+    reviewed: DataFrame, folder: str, limit: float = scores.ALERT_CONFIDENCE, *, every: str | None = None
 ) -> StreamingQuery:
     """ERROR rows for low confidence, appended to ``folder/alerts``; no state."""
     return (
@@ -81,6 +86,6 @@ def stream_alerts(
         .option("path", f"{folder}/alerts")
         .option("checkpointLocation", f"{folder}/alerts_checkpoint")
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**pace(every))
         .start()
     )
