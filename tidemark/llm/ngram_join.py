@@ -13,10 +13,10 @@ partitioned anew two to eight times, which leaves it below 1e-8 for a pair at th
 Sets are told apart by a 64-bit hash.
 
 Signatures are packed into bytes per map batch and bucket and grouped by
-bucket.  Groups of at most ``SMALL_GROUP`` sets give all their pairs.  Larger
-groups are resolved without forming their pairs: rounds of a few leaders per
-group, whose links join most members, then pairs of members that are still in
-different components and whose parity sketches allow a link.  Every candidate is verified on
+bucket.  Groups of at most ``SMALL_GROUP`` sets give all their pairs.  Larger groups are resolved without
+forming theirs: rounds of a few leaders per group, whose links join most members,
+then the pairs of members that are still in different components.  A pair is only formed if
+the sizes and the parity sketches of its sets allow a link.  Every candidate is verified on
 the whole texts.  Only such pairs are left out whose ends are in one component already.
 
 Cases: a null or empty text has an empty set and links with nothing; repeated
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,9 @@ ROUNDS = 4
 #: Signatures of a bucket, which one task groups in memory, and of a map batch.
 BUCKET_SIGNATURES = 3_000_000
 BATCH_SIGNATURES = 1_500_000
+#: Pairs whose texts are held in memory at once.
+VERIFIED_ROWS = 500
+MOST_COUNTED = 60_000
 SKETCH = 8
 SKETCH_COLUMNS = [f"s{k}" for k in range(SKETCH)]
 
@@ -61,6 +65,8 @@ def band_edges(largest: int) -> list[int]:
 
 
 EDGES = band_edges(1 << 31)
+_ODD = np.random.default_rng(22).integers(1, 1 << 63, 3, np.uint64) * U(2) + U(1)
+_SEEDS = np.random.default_rng(23).integers(1, 1 << 63, (len(EDGES) + 1) << 8, np.uint64) * U(2) + U(1)
 
 
 def instances(size: int) -> list[tuple[int, int]]:
@@ -77,32 +83,38 @@ def repeats(size: int) -> int:
 
 
 def signatures(elements: np.ndarray) -> np.ndarray:
-    """All signatures of a set."""
-    found, values = [], mix(elements + U(0x632BE59BD9B4E019))
+    """All signatures of a set; its elements are hashes already."""
+    found = []
     for j, distance in instances(len(elements)):
         parts = distance // 2 + 1
         for turn in range(repeats(len(elements))):
-            seed = np.array((j << 8) + turn, np.uint64)
-            place = mix(elements ^ mix(seed[None]))
-            slot = (place % U(3 * parts)).astype(np.int64)
+            seed = U((j << 8) + turn)
+            slot = (((elements * _SEEDS[int(seed)]) >> U(32)) * U(3 * parts) >> U(32)).view(np.int64)
             sums = np.zeros(3 * parts, np.uint64)
-            np.add.at(sums, slot, values)
-            filled = np.bincount(slot, minlength=3 * parts) > 0
-            sums, filled = sums.reshape(-1, 3), filled.reshape(-1, 3)
+            np.add.at(sums, slot, elements)
+            sums = sums.reshape(-1, 3)
+            # the pairs of pieces, each named after the piece left out
+            left, right = sums[:, (0, 0, 1)], sums[:, (1, 2, 2)]
             name = np.arange(3 * parts, dtype=np.uint64).reshape(-1, 3) + (seed << U(40))
-            for left, right, apart in ((0, 1, 2), (0, 2, 1), (1, 2, 0)):
-                some = filled[:, left] | filled[:, right]
-                both = mix(sums[:, left]) * U(3) + mix(sums[:, right] + U(1)) * U(5)
-                found.append(mix(both + mix(name[:, apart]))[some])
+            both = mix(left * _ODD[0] + right * _ODD[1] + name * _ODD[2])
+            found.append(both[(left != 0) | (right != 0)])
     return np.concatenate(found)
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
     """Parity of the number of elements in each of ``64 * SKETCH`` cells: sketches differ in no more bits than sets in elements."""
-    cells = np.bincount((mix(elements) % U(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    cells = np.bincount((elements >> U(20)).view(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
     return np.packbits(cells.astype(np.uint8)).view(np.int64)
 
 
+def _split_counts(counts: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Each count as ``more`` counts of at most ``MOST_COUNTED``."""
+    first = np.cumsum(more) - more
+    part = np.full(more.sum(), MOST_COUNTED)
+    part[first + more - 1] = counts - (more - 1) * MOST_COUNTED
+    return part
+
+
 def _sets(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``doc_id hash n_shingles key s0 ..`` per document."""
 
@@ -132,22 +144,29 @@ def _texts(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def _packed(df: DataFrame, text_column: str, buckets: int) -> DataFrame:
-    """``bucket keys counts signatures``: the signatures of many sets as bytes, each set once per task."""
+    """The signatures of many sets as bytes per bucket, each set once per task.
+
+    ``owners`` holds the keys of the sets that have signatures in the bucket,
+    ``counts`` how many, and ``signatures`` their low 40 bits, set after set.
+    """
 
     def pack(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        keys = np.array([key for key, _ in held], np.int64)
+        table = np.array([key for key, _ in held], np.int64)
         every = np.concatenate([s for _, s in held])
         owner = np.repeat(np.arange(len(held)), [len(s) for _, s in held])
-        bucket = ((every >> U(40)) % U(buckets)).astype(np.int64)
+        bucket = ((every >> U(40)) * U(buckets) >> U(24)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         low = every.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
         out = []
-        for b in np.unique(bucket):
+        for b in (np.diff(edges) > 0).nonzero()[0]:
             at = order[edges[b] : edges[b + 1]]
             owners, counts = np.unique(owner[at], return_counts=True)
-            out.append((int(b), keys[owners].tobytes(), counts.astype("<u4").tobytes(), low[at].tobytes()))
-        names = ["bucket", "keys", "counts", "signatures"]
+            # a set with more signatures than two bytes count is listed again
+            more = counts // MOST_COUNTED + 1
+            owners, counts = np.repeat(owners, more), _split_counts(counts, more)
+            out.append((int(b), table[owners].tobytes(), counts.astype("<u2").tobytes(), low[at].tobytes()))
+        names = ["bucket", "owners", "counts", "signatures"]
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
@@ -168,18 +187,17 @@ def _packed(df: DataFrame, text_column: str, buckets: int) -> DataFrame:
             yield pack(held)
 
     rows = df.select(text_or_empty(text_column).alias("text"))
-    return rows.mapInArrow(run, "bucket long, keys binary, counts binary, signatures binary")
+    return rows.mapInArrow(run, "bucket long, owners binary, counts binary, signatures binary")
 
 
 def _groups(packed: DataFrame) -> DataFrame:
     """``sig a b``: pairs of small groups (``sig`` is null), and members ``a`` of larger groups (``b`` is null)."""
-    fields = ["sig", "a", "b"]
 
     def run(table: pa.Table) -> pa.Table:
         keys, sigs = [], []
-        for row in table.select(["keys", "counts", "signatures"]).to_batches():
-            for key, count, low in zip(*(row.column(k) for k in range(3))):
-                keys.append(np.repeat(np.frombuffer(key.as_buffer(), np.int64), np.frombuffer(count.as_buffer(), "<u4")))
+        for row in table.select(["owners", "counts", "signatures"]).to_batches():
+            for owner, count, low in zip(*(row.column(k) for k in range(3))):
+                keys.append(np.repeat(np.frombuffer(owner.as_buffer(), np.int64), np.frombuffer(count.as_buffer(), "<u2")))
                 wide = np.zeros((len(keys[-1]), 8), np.uint8)
                 wide[:, :5] = np.frombuffer(low.as_buffer(), np.uint8).reshape(-1, 5)
                 sigs.append(wide.view("<u8").ravel())
@@ -206,7 +224,7 @@ def _groups(packed: DataFrame) -> DataFrame:
         blank = pa.nulls(len(pair), pa.int64())
         a = pa.chunked_array([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(key[large])])
         b = pa.chunked_array([pa.array(np.ascontiguousarray(pair[:, 1])), pa.nulls(len(names), pa.int64())])
-        return pa.table([pa.chunked_array([blank, pa.array(names)]), a, b], fields)
+        return pa.table([pa.chunked_array([blank, pa.array(names)]), a, b], ["sig", "a", "b"])
 
     return packed.groupBy("bucket").applyInArrow(run, "sig long, a long, b long")
 
@@ -221,19 +239,41 @@ def _may_link(left: str, right: str) -> Column:
     return sizes & (bits * (100 + SHARE) <= (n + m) * (100 - SHARE))
 
 
-def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs ``a b`` whose whole texts link; ``held`` has ``key text``."""
-    joined = pairs.join(held.select(F.col("key").alias("a"), F.col("text").alias("left")), "a")
-    joined = joined.join(held.select(F.col("key").alias("b"), F.col("text").alias("right")), "b")
+def _zipped(texts: DataFrame) -> DataFrame:
+    """``doc_id hash zipped``: texts compressed, as they are dealt by key more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3)):
-                one, two = shingle_sets([left.as_py(), right.as_py()])
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(100 * common >= SHARE * (len(one) + len(two) - common))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            zipped = [press((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(zipped, pa.binary())], ["doc_id", "hash", "zipped"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"doc_id {kind}, hash long, zipped binary")
+
+
+def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs ``a b`` whose whole texts link; ``held`` has ``key zipped``."""
+    joined = pairs.join(held.select(F.col("key").alias("a"), F.col("zipped").alias("left")), "a")
+    joined = joined.join(held.select(F.col("key").alias("b"), F.col("zipped").alias("right")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor().decompress
+
+        def sets(keys: list[int], zipped: pa.Array) -> dict[int, np.ndarray]:
+            first = {key: k for k, key in enumerate(keys)}
+            found = shingle_sets([unzip(zipped[k].as_py()).decode("utf-8", "surrogatepass") for k in first.values()])
+            return dict(zip(first, found))
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, VERIFIED_ROWS):
+                batch = whole.slice(at, VERIFIED_ROWS)
+                a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                one, two, keep = sets(a, batch.column(2)), sets(b, batch.column(3)), []
+                for x, y in zip(a, b):
+                    common = len(np.intersect1d(one[x], two[y], assume_unique=True))
+                    keep.append(100 * common >= SHARE * (len(one[x]) + len(two[y]) - common))
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
@@ -241,12 +281,13 @@ def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
 def _allowed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("key").alias("a"), F.struct("n_shingles", *SKETCH_COLUMNS).alias("x"))
     right = sets.select(F.col("key").alias("b"), F.struct("n_shingles", *SKETCH_COLUMNS).alias("y"))
-    return pairs.join(left, "a").join(right, "b").where(_may_link("x", "y")).select("a", "b")
+    joined = pairs.join(left, "a").join(right, "b")
+    return joined.where(_may_link("x", "y")).select("a", "b")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     joined = members.join(labels, members["key"] == labels["node"], "left")
-    return joined.select("sig", "key", F.coalesce("label", "key").alias("label"))
+    return joined.select("sig", "key", F.coalesce("label", "key").alias("label"), "n_shingles", *SKETCH_COLUMNS)
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -256,20 +297,23 @@ def _open(members: DataFrame) -> DataFrame:
 
 
 def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Each member with up to ``LEADERS`` members of its group, chosen by hash, in other components."""
-    order = [F.min(F.struct(F.xxhash64("key", F.lit(turn * LEADERS + k)), "key", "label")) for k in range(LEADERS)]
-    leaders = members.groupBy("sig").agg(F.array(*order).alias("_leaders"))
-    joined = members.join(leaders, "sig").select("key", "label", F.explode(F.array_distinct("_leaders")).alias("_one"))
-    apart = joined.where("label != _one.label")
-    return apart.select(F.least("key", "_one.key").alias("a"), F.greatest("key", "_one.key").alias("b")).distinct()
+    """Each member with up to ``LEADERS`` members of its group, chosen by hash, that it may link with and is apart from."""
+    one = F.struct("key", "label", "n_shingles", *SKETCH_COLUMNS)
+    order = [F.min_by(one, F.xxhash64("key", F.lit(turn * LEADERS + k))) for k in range(LEADERS)]
+    leaders = members.groupBy("sig").agg(F.array_distinct(F.array(*order)).alias("_leaders"))
+    leaders = leaders.select("sig", F.explode("_leaders").alias("_one")).select("sig", "_one.*")
+    return _pairs_apart(members, leaders, F.lit(True))
+
+
+def _pairs_apart(left: DataFrame, right: DataFrame, more: Column) -> DataFrame:
+    x, y = left.alias("x"), right.alias("y")
+    apart = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") != F.col("y.label")) & more & _may_link("x", "y")
+    return x.join(y, apart).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
-def _cross_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _cross_pairs(members: DataFrame) -> DataFrame:
     """All pairs of a group that are in different components and may link."""
-    with_sets = members.join(sets.select("key", "n_shingles", *SKETCH_COLUMNS), "key")
-    x, y = with_sets.alias("x"), with_sets.alias("y")
-    apart = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
-    return x.join(y, apart & _may_link("x", "y")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    return _pairs_apart(members, members, F.col("x.key") < F.col("y.key"))
 
 
 def _cross_count(members: DataFrame) -> int:
@@ -292,14 +336,14 @@ def near_components(df: DataFrame, id_column: str = "doc_id", text_column: str =
     buckets = max(partitions, math.ceil(1.2 * volume / BUCKET_SIGNATURES))
     groups = stored(_groups(_packed(df, text_column, buckets)), "signature-groups")
 
-    few = _allowed(groups.where("sig is null").select("a", "b").distinct(), sets)
-    few = stored(few, "pairs")
+    few = stored(_allowed(groups.where("sig is null").select("a", "b").distinct(), sets), "pairs")
     members = groups.where("b is null").select("sig", F.col("a").alias("key"))
+    members = members.join(sets.select("key", "n_shingles", *SKETCH_COLUMNS), "key")
     wanted = few.select(F.col("a").alias("key")).union(few.select("b")).union(members.select("key")).distinct()
     found = wanted.join(sets, "key").select("key", F.col("one.doc_id").alias("_id"), F.col("one.hash").alias("_hash"))
-    texts = _texts(df, id_column, text_column)
+    texts = _zipped(_texts(df, id_column, text_column))
     held = texts.join(found, (texts["hash"] == F.col("_hash")) & texts["doc_id"].eqNullSafe(F.col("_id")))
-    held = stored(held.groupBy("key").agg(F.first("text").alias("text")), "candidate-texts")
+    held = stored(held.groupBy("key").agg(F.first("zipped").alias("zipped")), "candidate-texts")
 
     links = stored(_verified(few, held), "links")
     labels = components(links)
@@ -308,15 +352,15 @@ def near_components(df: DataFrame, id_column: str = "doc_id", text_column: str =
     for turn in range(ROUNDS):
         if not left:
             break
-        more = _verified(_allowed(_leader_pairs(members, turn), sets), held)
+        more = _verified(_leader_pairs(members, turn), held)
         links = links.unionByName(stored(more, "links"))
         labels = components(links)
-        members = stored(_open(_labelled(members.select("sig", "key"), labels)), "members")
+        members = stored(_open(_labelled(members.drop("label"), labels)), "members")
         before, left = left, _cross_count(members)
         if 2 * left > before:
             break
     if left:
-        links = links.unionByName(stored(_verified(_cross_pairs(members, sets), held), "links"))
+        links = links.unionByName(stored(_verified(_cross_pairs(members), held), "links"))
         labels = components(links)
     joined = docs.select("doc_id", "n_shingles", "hash", "key").join(labels, docs["key"] == labels["node"], "left")
     alone = F.struct(F.lit(True).alias("alone"), F.coalesce("doc_id", F.lit(-1)).cast("long").alias("of"))
