@@ -20,12 +20,6 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """At least as many partitions as there are cores, for per-document work over few input splits."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def number_within(df: DataFrame, group: str, row_key: str, name: str, rows: int) -> DataFrame:
     """Number the rows of every group from 0 without gaps, whatever the size of a group.
 
