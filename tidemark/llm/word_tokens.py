@@ -72,6 +72,17 @@ def load(path: str):
     return tokenizer
 
 
+def lowered(text: str) -> str:
+    """The text in lower case where that is certain to be what the library does: fewer different chunks."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def whole_words(path: str) -> frozenset[str]:
     """Vocabulary strings that, as a word of their own, are proven to be one token: themselves."""
     tokenizer = load(path)
@@ -109,10 +120,12 @@ class WordTokens:
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        words = self.words
+        if chunk.isalpha() and chunk.isascii():
+            return words[chunk.lower()]
         found = self.pieces(chunk)
         if found is None:
             return array("I", self._library(chunk)).tobytes()
-        words = self.words
         return b"".join([words[word] for word in found])
 
     def ids(self, text: str) -> bytes:
@@ -120,7 +133,7 @@ class WordTokens:
         if any(c in text for c in SEPARATORS):
             return array("I", self._library(text)).tobytes()
         recent = self.recent
-        return b"".join([recent[chunk] for chunk in text.split()])
+        return b"".join([recent[chunk] for chunk in lowered(text).split()])
 
 
 class WordCounts(WordTokens):
@@ -144,7 +157,7 @@ class WordCounts(WordTokens):
         if any(c in text for c in SEPARATORS):
             return len(self._library(text))
         recent = self.recent
-        return sum([recent[chunk] for chunk in text.split()])
+        return sum([recent[chunk] for chunk in lowered(text).split()])
 
 
 _LOADED: dict[tuple, WordTokens] = {}
