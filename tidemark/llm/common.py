@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,3 +38,13 @@ def number_within(df: DataFrame, group: str, row_key: str, name: str, rows: int)
     return placed.join(starts, [group, "_bucket"]).withColumn(name, F.col("_start") + F.col("_place")).drop(
         "_bucket", "_place", "_start"
     )
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Drop the shuffle files of finished jobs now.
+
+    Spark's cleaner removes them when the driver collects its garbage; between the
+    steps of a long operator that may come too late for the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
