@@ -252,3 +252,11 @@ def test_pipeline_stages(spark):
     assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in whole.collect()) == sorted(
         (r.doc_id, r.piece, r.length, r.ids_crc32) for r in packed.collect()
     )
+
+
+def test_score_learns_from_seven_bytes(spark):
+    # "c" or "d" after "xbbbbbb": only the seventh byte back tells which one
+    rows = [(k, "xbbbbbbc ybbbbbbd " * 40) for k in range(8)] + [(100, "xbbbbbbc"), (101, "xbbbbbbd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.score for r in lm_scoring.score(df, F.col("doc_id") >= 100).collect()}
+    assert found[100] > found[101] + 1.5
