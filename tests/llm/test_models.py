@@ -36,6 +36,29 @@ def test_restores_spaced_letters():
     assert restorer.words("") == [] and restorer.words("12 345 --- 6 7 8") == []
 
 
+def prose_costs():
+    words = "an ass is such a stupid fool you idiot and a sit as this idiot said that was a good day for us all in it you and i"
+    table, counts = toxicity._classes(), Counter()
+    c = table[np.frombuffer(f"  {words * 50} ".replace("  ", " ").encode(), np.uint8)]
+    counts.update((c[:-2] * 729 + c[1:-1] * 27 + c[2:]).tolist())
+    return toxicity.trigram_costs(counts)
+
+
+@pytest.mark.parametrize(
+    "written, meant",
+    [("a$$", "ass"), ("@$$", "ass"), ("!d!0t", "idiot"), ("@55", "ass"), ("$1+", "sit"), ("idiot!", "idiot"), ("(idiot)", "idiot")],
+)
+def test_restores_signs_at_edges(written, meant):
+    assert toxicity.Restorer(prose_costs()).chunk(written) == (meant,)
+
+
+def test_restores_words_in_spaced_runs():
+    restorer = toxicity.Restorer(prose_costs())
+    assert restorer.words("such a s t u p i d fool") == ["such", "fool", "a", "stupid"]
+    assert restorer.words("y o u i d i o t") == ["you", "idiot"]
+    assert restorer.words("s\tt\tu\tp\ti\td") == ["stupid"] and restorer.words("y o u  i d i o t") == ["you", "idiot"]
+
+
 def toxic_table(spark):
     rows, labels = [], []
     for k in range(1200):

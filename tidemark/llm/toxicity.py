@@ -3,7 +3,8 @@
 A chunk of text in which letters are mixed with digits or signs, letters are
 repeated three times or more, or single letters are spaced out, is read as a
 lattice: every character may stand for itself, for the letters it resembles, or
-for nothing.  Viterbi decoding finds the cheapest path under a character
+for nothing, signs at the edges of a chunk too, and spaced letters may be words of
+their own.  Viterbi decoding finds the cheapest path under a character
 trigram model of the corpus.  Other chunks have one path only, themselves.
 
 The trigram model counts all documents.  The score uses learned word evidence:
@@ -55,11 +56,18 @@ RESEMBLES = {
 AS_LETTER, DROPPED, BROKEN = 0.7, 9.0, 9.0
 MARK_DROPPED, MARK_BROKEN = 0.7, 2.0
 REPEATED, PAIR = 0.5, 5.0
-
-EDGES = ".,;:!?\"'()[]{}…“”‘’«»¿"
-NOISE_END = re.compile(r"[^\w\s]{2,}\Z")
+#: Leaving out a sign at the edge of a chunk: one that is punctuation there, and any other at the end.
+PUNCTUATION, TRAILING = 1.0, 4.0
+#: A word break between spaced letters.
+SPLIT = 0.5
+
+#: Signs that resemble no letter and are cut off at the edges.
+EDGES = ".,;:?\"')[]{}…“”‘’«»¿"
+OPENING, CLOSING = "(¡", "!("
+SIGNS = frozenset(c for c in RESEMBLES if not c.isdigit())
 RUNS = re.compile(r"([^\W\d_])\1\1")
-SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+GAPS = re.compile(r"\s+")
 
 
 def _classes() -> np.ndarray:
@@ -106,22 +114,27 @@ class Restorer:
         self.costs = costs.tolist()
 
     def chunk(self, chunk: str) -> tuple[str, ...]:
-        core = chunk.strip(EDGES)
-        if not core.isalpha():
-            core = NOISE_END.sub("", core).strip(EDGES)
-            if not any(c.isalpha() for c in core):
-                return ()
-        core = core.lower()
+        core = chunk.strip(EDGES).lower()
         if core.isalpha() and not RUNS.search(core):
             return (core,)
-        return tuple(self.decode(core).split())
+        return tuple(self.decode(core).split()) if self.written(core) else ()
 
-    def spaced(self, run: str) -> str:
-        """The reading of single characters with spaces between."""
-        joined = run.replace(" ", "").lower()
-        return self.decode(joined) if any(c.isalpha() for c in joined) else ""
+    @staticmethod
+    def written(text: str) -> bool:
+        """Whether a text may stand for words: it has letters or signs read as letters, not digits alone."""
+        return any(c.isalpha() or c in SIGNS for c in text)
 
-    def _readings(self, text: str, at: int) -> list[tuple[str, float]]:
+    def spaced(self, run: str) -> str:
+        """The reading of single characters with white space between; wide gaps break words at no cost."""
+        gaps = GAPS.findall(run)
+        widest = min(map(len, gaps))
+        # one character each: a few lower to two
+        joined = "".join(c.lower()[0] for c in GAPS.sub("", run))
+        if not self.written(joined):
+            return ""
+        return self.decode(joined, [0.0 if len(gap) > widest else SPLIT for gap in gaps])
+
+    def _readings(self, text: str, at: int, start: int, end: int) -> list[tuple[str, float]]:
         c = text[at]
         if c.isalpha():
             if at == 0 or text[at - 1] != c:
@@ -131,15 +144,34 @@ class Restorer:
         letters = RESEMBLES.get(c, "")
         if not letters:
             return [("", MARK_DROPPED), (" ", MARK_BROKEN)]
-        return [("", DROPPED), (" ", BROKEN), *((letter, AS_LETTER) for letter in letters)]
-
-    def decode(self, text: str) -> str:
-        """The cheapest path through the lattice of a lower-case chunk."""
+        dropped, broken = DROPPED, BROKEN
+        if not c.isdigit():
+            run = text[at - 2 : at + 1] == c * 3 or (at and text[at - 1 : at + 2] == c * 3)
+            if at >= end:
+                dropped = broken = PUNCTUATION if c in CLOSING else REPEATED if run else TRAILING
+            elif at < start and (c in OPENING or run):
+                dropped = broken = PUNCTUATION
+        return [("", dropped), (" ", broken), *((letter, AS_LETTER) for letter in letters)]
+
+    def decode(self, text: str, breaks: list[float] | None = None) -> str:
+        """The cheapest path through the lattice of a lower-case chunk.
+
+        ``breaks`` are the costs of a word break after each character but the last; None allows none.
+        """
+        # signs before the first and from behind the last letter or digit are at the edges
+        inner = [k for k, c in enumerate(text) if c.isalnum()]
+        start, end = (inner[0], inner[-1] + 1) if inner else (0, 0)
         paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for at in range(len(text)):
+            if breaks and at:
+                for (a, b), (cost, back) in list(paths.items()):
+                    now = cost + breaks[at - 1] + self.costs[a][b][0]
+                    if b and ((b, 0) not in paths or now < paths[b, 0][0]):
+                        paths[b, 0] = (now, (" ", back))
             following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            readings = self._readings(text, at, start, end)
             for (a, b), (cost, back) in paths.items():
-                for read, price in self._readings(text, at):
+                for read, price in readings:
                     if read:
                         c = ord(read) - 96 if "a" <= read <= "z" else 0
                         state, now, link = (b, c), cost + price + self.costs[a][b][c], (read, back)
@@ -164,7 +196,7 @@ class Restorer:
 
 
 def split_runs(text: str) -> tuple[list[str], list[str]]:
-    """White-space separated chunks, and runs of single characters with spaces between."""
+    """White-space separated chunks, and runs of single characters with white space between."""
     runs = SPACED.findall(text)
     return (SPACED.sub(" ", text) if runs else text).split(), runs
 
