@@ -9,7 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, exact_dedup, fingerprints, lm_scoring, ngram_join, packing, sharding, token_counts, toxicity, url_filter
+from tidemark.llm import (
+    byte_bpe, exact_dedup, fill_middle, fingerprints, lm_scoring, ngram_join, packing, sharding, simhash, token_counts, toxicity,
+    url_filter, whitening,
+)
 from tidemark.llm.common import documents
 
 
@@ -72,6 +75,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), model)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=4)
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.fill_middle(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restore("output", "form"), 256).alias("restored_sha256"),
+    )
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_components(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
@@ -83,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_url_filter": op10_url_filter,
+    "op11_whitening": op11_whitening,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_simhash": op13_simhash,
 }
 
 SQL: dict[str, str] = {
@@ -119,6 +143,29 @@ SQL: dict[str, str] = {
                CHANGED(lines, edited_lines) AS changed_paragraphs
         FROM nodes
     """,
+    "op12_fill_middle": r"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(text, '') AS body, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        units AS (
+            SELECT *, regexp_extract_all(body, '[A-Za-z]+|[^A-Za-z]') AS u, ('0x' || h[1:8])::BIGINT AS h1,
+                   ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+            FROM texts),
+        cuts AS (
+            SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a,
+                   greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+                   CASE WHEN body = '' OR regexp_matches(body, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain'
+                        WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM units),
+        parts AS (
+            SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS prefix, coalesce(array_to_string(u[a + 1:b], ''), '') AS middle,
+                   coalesce(array_to_string(u[b + 1:n], ''), '') AS suffix FROM cuts)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN body
+                      WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(body) AS restored_sha256
+        FROM parts
+    """,
 }
 
 
