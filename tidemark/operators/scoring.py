@@ -22,6 +22,7 @@ from tidemark.plans.running import (
     sliding_rows,
 )
 from tidemark.plans.segments import DEFAULT_SPLIT, Split
+from tidemark.plans.wide import running_vectors
 
 RIDGE = 1e-6
 #: Order column of ``seed_baseline``: 0 for history, 1 for the batch.
@@ -144,8 +145,15 @@ def running_mahalanobis(
     Population covariance plus ``ridge`` on the diagonal.  A row that is part of
     its own profile is never further away than ``sqrt(n - 1)``, and with at
     least as many features as rows it is exactly that far: use few features, or
-    fit a profile first and score against it.
+    fit a profile first and score against it.  More than two features go through
+    ``running_mahalanobis_vectors`` as one array.
     """
+    if len(features) > 2 and ridge > 0:
+        wide = df.withColumn("_vector", F.array(*[F.col(c).cast("double") for c in features]))
+        return running_mahalanobis_vectors(
+            wide, keys, order_by, "_vector", limit=limit, ridge=ridge, min_samples=min_samples, include_self=include_self,
+            split=split,
+        ).drop("_vector")
     rows = running_moments(
         df, keys, order_by, features, include_self=include_self, split=split
     ).withColumn("mahalanobis_distance", _distance(features, F.col("_n"), ridge, min_samples))
@@ -287,18 +295,37 @@ def review(
     n = F.col("_n")
     z = _z_columns(F.col("_flat"), n, F.col("_mean__flat"), F.col("_m2__flat__flat"), z_limit)
     rows = rows.withColumns({"mahalanobis_distance": _distance(features, n, ridge, 1), **z})
+    return _verdicts(
+        rows, df.columns, keys, order_by, score_column, id_column, distance_limit, entropy_limit, needed, split
+    )
+
+
+def _verdicts(
+    rows: DataFrame,
+    columns: Sequence[str],
+    keys: Sequence[str],
+    order_by: Sequence[str],
+    score_column: str,
+    id_column: str | None,
+    distance_limit: float,
+    entropy_limit: float,
+    needed: int,
+    split: Split,
+) -> DataFrame:
+    """The review's columns from distance, z-score, ``_n`` and ``_flat``."""
+    n = F.col("_n")
     rows = rows.withColumn("is_ood", scores.is_ood(F.col("mahalanobis_distance"), distance_limit))
     own = F.when(F.col("_flat").isNotNull(), 1).otherwise(0)
     rows = rows.withColumn("record_count", (n - own).cast("bigint"))
     rows = rows.withColumn("is_cold_start", F.col("record_count") < needed)
-    metrics = ["mahalanobis_distance", *z, "is_ood"]
+    metrics = ["mahalanobis_distance", "z_score", "mean", "std", "is_z_anomalous", "is_ood"]
     if id_column is not None:
-        rows = rows.select(*df.columns, *metrics)
+        rows = rows.select(*columns, *metrics)
         rows = cold_start(rows, keys, order_by, id_column, needed=needed, split=split)
     rows = prediction_stability(rows, score_column, limit=entropy_limit)
     rows = judge(rows)
     return rows.select(
-        *df.columns,
+        *columns,
         "mahalanobis_distance",
         "is_ood",
         "entropy",
@@ -313,6 +340,66 @@ def review(
     )
 
 
+def running_mahalanobis_vectors(
+    df: DataFrame,
+    keys: Sequence[str],
+    order_by: Sequence[str],
+    vector: str,
+    *,
+    limit: float = scores.DISTANCE_LIMIT,
+    ridge: float = RIDGE,
+    min_samples: int = 1,
+    include_self: bool = True,
+    prior: DataFrame | None = None,
+    split: Split = DEFAULT_SPLIT,
+) -> DataFrame:
+    """``running_mahalanobis`` for an array column of any length, in order and with one matrix per task.
+
+    ``prior`` holds ``vector_moments`` of stored vectors, which come before all rows.
+    """
+    rows = running_vectors(
+        df, keys, order_by, vector, ridge=ridge, include_self=include_self, prior=prior, split=split
+    )
+    found = _wide_distance(min_samples)
+    return rows.select(*df.columns, found.alias("mahalanobis_distance"), scores.is_ood(found, limit).alias("is_ood"))
+
+
+def _wide_distance(min_samples: int) -> Column:
+    early = F.col("_flat").isNotNull() & (F.col("_n") < max(min_samples, 1))
+    return F.when(early, F.lit(float("inf"))).otherwise(F.col("_distance"))
+
+
+def review_vectors(
+    df: DataFrame,
+    keys: Sequence[str],
+    order_by: Sequence[str],
+    vector: str,
+    score_column: str,
+    *,
+    id_column: str | None = None,
+    distance_limit: float = scores.DISTANCE_LIMIT,
+    entropy_limit: float = scores.ENTROPY_LIMIT,
+    z_limit: float = scores.Z_LIMIT,
+    ridge: float = RIDGE,
+    needed: int = scores.COLD_START_RECORDS,
+    prior: DataFrame | None = None,
+    split: Split = DEFAULT_SPLIT,
+) -> DataFrame:
+    """``review`` for an array column of any length: the z-score is of the mean of its entries.
+
+    ``prior`` holds ``vector_moments`` of stored vectors (``load_vectors``) and no ids, so it cannot go with
+    ``id_column``.  A vector that is NULL or holds a NULL or non-finite entry counts for no other row.
+    """
+    if id_column is not None and prior is not None:
+        raise ValueError("prior moments hold no record ids: leave out id_column")
+    rows = running_vectors(df, keys, order_by, vector, ridge=ridge, prior=prior, split=split)
+    z = _z_columns(F.col("_flat"), F.col("_n"), F.col("_flat_mean"), F.col("_flat_m2"), z_limit)
+    rows = rows.withColumns({"mahalanobis_distance": _wide_distance(1), **z})
+    return _verdicts(
+        rows, df.columns, keys, order_by, score_column, id_column, distance_limit, entropy_limit, needed, split
+    )
+
+
 def seed_baseline(batch: DataFrame, baseline: DataFrame, store: DataFrame | None = None) -> DataFrame:
     """Put history before a batch, marked ``is_baseline``, for scoring with ``review``.
 
