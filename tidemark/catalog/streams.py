@@ -18,6 +18,7 @@ from tidemark.catalog.common import Query, rounded
 from tidemark.session import run_folder
 from tidemark.sources.files import source_stream
 from tidemark.streaming.batches import read_batches
+from tidemark.streaming.keyed import stream_review_keyed as start_keyed
 from tidemark.streaming.review import stream_alerts as start_alerts
 from tidemark.streaming.review import stream_review as start_review
 from tidemark.streaming.upsert import read_store
@@ -39,9 +40,9 @@ def _slices(rows: DataFrame) -> Iterator[DataFrame]:
 
 
 def _arrive(
-    spark: SparkSession, sf_dir: str, folder: str, start: Callable[[DataFrame], StreamingQuery]
+    spark: SparkSession, sf_dir: str, folder: str, start: Callable[[DataFrame], StreamingQuery], rows: DataFrame | None = None
 ) -> None:
-    rows = scoring.scored_events(spark, sf_dir)
+    rows = scoring.scored_events(spark, sf_dir) if rows is None else rows
     for part in _slices(rows):
         part.write.mode("append").parquet(f"{folder}/input")
         start(source_stream(spark, f"{folder}/input", rows.schema)).awaitTermination()
@@ -64,6 +65,40 @@ def stream_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("pair", F.array(*scoring.FEATURES))
+
+
+def _keyed_columns(found: DataFrame) -> DataFrame:
+    return found.select("event_id", "record_count", *scoring.FLAGS, *rounded(*scoring.METRICS, digits=4))
+
+
+def stream_review_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State per user; the event type is the record id, and repeats over the batches."""
+    folder = run_folder(spark, "keyed-review")
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        return start_keyed(
+            _pairs(stream), folder, scoring.KEYS, scoring.ORDER, "pair", "score_array", id_column="event_type"
+        )
+
+    _arrive(spark, sf_dir, folder, start)
+    return _keyed_columns(spark.read.parquet(f"{folder}/scored"))
+
+
+def stream_review_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-ups are the stored vectors that the state of each user starts from; the others arrive."""
+    folder = run_folder(spark, "stored-review")
+    rows = scoring.scored_events(spark, sf_dir)
+    stored = _pairs(rows.filter(F.col("event_type") == "signup"))
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        return start_keyed(_pairs(stream), folder, scoring.KEYS, scoring.ORDER, "pair", "score_array", stored=stored)
+
+    _arrive(spark, sf_dir, folder, start, rows.filter(F.col("event_type") != "signup"))
+    return _keyed_columns(spark.read.parquet(f"{folder}/scored"))
+
+
 def source_stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What arrives: the events themselves, appended as they come."""
     folder = run_folder(spark, "arrivals")
@@ -96,6 +131,8 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "source_stream": Query(source_stream_rows, "SELECT event_id, event_type, value FROM events"),
     "stream_review": Query(stream_review, scoring.REVIEW_SQL),
+    "stream_review_keyed": Query(stream_review_keyed, scoring.REVIEW_BY_TYPE_SQL),
+    "stream_review_stored": Query(stream_review_stored, scoring.BASELINE_REVIEW_SQL),
     "stream_alerts": Query(stream_alerts, reports.CONFIDENCE_ALERTS_SQL),
     "stream_upsert": Query(stream_upsert, reports.UPSERT_LATEST_SQL),
 }

@@ -295,9 +295,8 @@ def review(
     n = F.col("_n")
     z = _z_columns(F.col("_flat"), n, F.col("_mean__flat"), F.col("_m2__flat__flat"), z_limit)
     rows = rows.withColumns({"mahalanobis_distance": _distance(features, n, ridge, 1), **z})
-    return _verdicts(
-        rows, df.columns, keys, order_by, score_column, id_column, distance_limit, entropy_limit, needed, split
-    )
+    rows = rows.withColumn("is_ood", scores.is_ood(F.col("mahalanobis_distance"), distance_limit))
+    return _verdicts(rows, df.columns, keys, order_by, score_column, id_column, entropy_limit, needed, split)
 
 
 def _verdicts(
@@ -307,14 +306,12 @@ def _verdicts(
     order_by: Sequence[str],
     score_column: str,
     id_column: str | None,
-    distance_limit: float,
     entropy_limit: float,
     needed: int,
     split: Split,
 ) -> DataFrame:
     """The review's columns from distance, z-score, ``_n`` and ``_flat``."""
     n = F.col("_n")
-    rows = rows.withColumn("is_ood", scores.is_ood(F.col("mahalanobis_distance"), distance_limit))
     own = F.when(F.col("_flat").isNotNull(), 1).otherwise(0)
     rows = rows.withColumn("record_count", (n - own).cast("bigint"))
     rows = rows.withColumn("is_cold_start", F.col("record_count") < needed)
@@ -322,6 +319,11 @@ def _verdicts(
     if id_column is not None:
         rows = rows.select(*columns, *metrics)
         rows = cold_start(rows, keys, order_by, id_column, needed=needed, split=split)
+    return finish_review(rows, columns, score_column, entropy_limit)
+
+
+def finish_review(rows: DataFrame, columns: Sequence[str], score_column: str, entropy_limit: float) -> DataFrame:
+    """Add entropies, vote and confidence to the other metrics, and put the columns of a review in order."""
     rows = prediction_stability(rows, score_column, limit=entropy_limit)
     rows = judge(rows)
     return rows.select(
@@ -340,6 +342,13 @@ def _verdicts(
     )
 
 
+def vector_metrics(rows: DataFrame, distance_limit: float, z_limit: float) -> DataFrame:
+    """Distance and z-score columns from those of ``running_vectors``."""
+    z = _z_columns(F.col("_flat"), F.col("_n"), F.col("_flat_mean"), F.col("_flat_m2"), z_limit)
+    rows = rows.withColumns({"mahalanobis_distance": _wide_distance(1), **z})
+    return rows.withColumn("is_ood", scores.is_ood(F.col("mahalanobis_distance"), distance_limit))
+
+
 def running_mahalanobis_vectors(
     df: DataFrame,
     keys: Sequence[str],
@@ -393,11 +402,8 @@ def review_vectors(
     if id_column is not None and prior is not None:
         raise ValueError("prior moments hold no record ids: leave out id_column")
     rows = running_vectors(df, keys, order_by, vector, ridge=ridge, prior=prior, split=split)
-    z = _z_columns(F.col("_flat"), F.col("_n"), F.col("_flat_mean"), F.col("_flat_m2"), z_limit)
-    rows = rows.withColumns({"mahalanobis_distance": _wide_distance(1), **z})
-    return _verdicts(
-        rows, df.columns, keys, order_by, score_column, id_column, distance_limit, entropy_limit, needed, split
-    )
+    rows = vector_metrics(rows, distance_limit, z_limit)
+    return _verdicts(rows, df.columns, keys, order_by, score_column, id_column, entropy_limit, needed, split)
 
 
 def seed_baseline(batch: DataFrame, baseline: DataFrame, store: DataFrame | None = None) -> DataFrame:
