@@ -256,6 +256,45 @@ k AS (
 SELECT label, vec_id, rank, {r('s', 'similarity')} FROM k WHERE rank <= 5"""
 
 
+def _twentieth(rows: DataFrame) -> DataFrame:
+    """The query set of a search: every vector whose id 20 divides."""
+    return rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "v")
+
+
+def similarity_of_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors closest to each query, all vectors searched."""
+    rows = embeddings(spark, sf_dir)
+    found = similarity.similarity_search(
+        rows, _twentieth(rows), id_column="vec_id", vector="v", query_id="query_id", query_vector="v", k=5
+    )
+    return found.select("query_id", "vec_id", "rank", *rounded("similarity"))
+
+
+def similarity_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answer from the index."""
+    rows = embeddings(spark, sf_dir)
+    index = similarity.build_index(rows, id_column="vec_id", vector="v")
+    found = similarity.search_index(index, _twentieth(rows), query_id="query_id", query_vector="v", k=5)
+    return found.nearest.select("query_id", "vec_id", "rank", *rounded("similarity"))
+
+
+def similarity_index_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cells of the index each query looked into, of how many."""
+    rows = embeddings(spark, sf_dir)
+    index = similarity.build_index(rows, id_column="vec_id", vector="v")
+    looked = similarity.search_index(index, _twentieth(rows), query_id="query_id", query_vector="v", k=5).looked
+    return looked.withColumn("share", F.round(F.col("looked") / F.col("cells"), 6))
+
+
+SIMILARITY_OF_VECTORS_SQL = f"""
+WITH s AS (
+  SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.v, e.v), 12) AS s
+  FROM ({VECTORS_SQL}) q, ({VECTORS_SQL}) e WHERE q.vec_id % 20 = 0),
+k AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, vec_id, rank, {r('s', 'similarity')} FROM k WHERE rank <= 5"""
+
+
 def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten vectors with the most even distribution of squared entries."""
     return similarity.top_k(shannon_entropy(spark, sf_dir), "entropy", "vec_id", 10)
@@ -471,6 +510,9 @@ QUERIES = {
     "step_divergence": Query(step_divergence, STEP_DIVERGENCE_SQL),
     "pairwise_divergence": Query(pairwise_divergence, PAIRWISE_DIVERGENCE_SQL),
     "similarity_search": Query(similarity_search, SIMILARITY_SEARCH_SQL),
+    "similarity_of_vectors": Query(similarity_of_vectors, SIMILARITY_OF_VECTORS_SQL),
+    "similarity_index": Query(similarity_index, SIMILARITY_OF_VECTORS_SQL),
+    "similarity_index_share": Query(similarity_index_share),
     "top_k": Query(top_k, TOP_K_SQL),
     "record_count": Query(load_vectors_count, "SELECT count(*) AS record_count FROM embeddings"),
     "fit_profile": Query(fit_profile_pairs, FIT_PROFILE_SQL),
