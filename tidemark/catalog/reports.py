@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import scoring
 from tidemark.catalog.common import Query, r, rounded, table
 from tidemark.functions.scores import anomaly_vote as vote
-from tidemark.operators import patterns, reports, snapshots
+from tidemark.operators import hunks, patterns, reports, snapshots
 from tidemark.operators.reliability import running_reliability
 from tidemark.operators.scoring import running_mahalanobis
 from tidemark.session import run_folder
@@ -375,6 +375,25 @@ SELECT path, md5(line) AS line_digest, CAST(sum(s) AS BIGINT) AS copies
 FROM l GROUP BY path, line HAVING sum(s) <> 0"""
 
 
+def line_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines the shortest edit script of every changed text takes out and puts in."""
+    base, target = document_versions(spark, sf_dir)
+    found = hunks.line_hunks(base, target, "path", "text", suffix="")
+    return found.select("path", "hunk", "old_start", "new_start", "place", "op", F.md5("line").alias("line_digest"))
+
+
+def patched_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old texts after their hunks."""
+    base, target = document_versions(spark, sf_dir)
+    found = hunks.apply_hunks(base, hunks.line_hunks(base, target, "path", "text", suffix=""), "path", "text")
+    return found.select("path", F.md5("text").alias("digest"))
+
+
+PATCHED_TEXTS_SQL = f"""
+WITH {_VERSIONS_SQL}
+SELECT path, md5(t.text) AS digest FROM base b FULL JOIN target t USING (path) WHERE b.text IS DISTINCT FROM t.text"""
+
+
 def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user the widest distance among errors against that among all other events."""
     rows = table(spark, sf_dir, "events").select(
@@ -433,5 +452,7 @@ QUERIES = {
     "call_counts": Query(call_counts, CALL_COUNTS_SQL),
     "snapshot_diff": Query(snapshot_diff, SNAPSHOT_DIFF_SQL),
     "line_diff": Query(line_diff, LINE_DIFF_SQL),
+    "line_hunks": Query(line_hunks),
+    "patched_texts": Query(patched_texts, PATCHED_TEXTS_SQL),
     "drift": Query(drift, DRIFT_SQL),
 }

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.hunks import changed_paths, only_changed
+
 DRIFT_RATIO = 1.5
 
 
@@ -15,21 +17,12 @@ def snapshot_diff(
 ) -> DataFrame:
     """Paths with the suffix that were added, removed or modified, with the new text.
 
-    Paths are unique inside a snapshot.  Texts are compared by SHA-256, so the
-    old texts stay out of the join.
+    Paths are unique inside a snapshot.  Hashes are joined first; texts of unchanged paths are not moved.
+    A NULL text counts as a path that is not there.
     """
-    old = base.filter(F.col(path).endswith(suffix))
-    old = old.select(F.col(path), F.coalesce(F.sha2(text, 256), F.lit("")).alias("_old"))
-    new = target.filter(F.col(path).endswith(suffix))
-    new = new.select(F.col(path), F.coalesce(F.sha2(text, 256), F.lit("")).alias("_new"), F.col(text).alias("new_content"))
-    change = (
-        F.when(F.col("_old").isNull(), "added")
-        .when(F.col("_new").isNull(), "removed")
-        .otherwise("modified")
-    )
-    rows = old.join(new, [path], "full_outer")
-    rows = rows.filter(~F.col("_old").eqNullSafe(F.col("_new")))
-    return rows.select(path, change.alias("change_type"), "new_content")
+    changes = changed_paths(base, target, path, text, suffix)
+    texts = target.select(path, F.col(text).alias("new_content")).filter(F.col("new_content").isNotNull())
+    return changes.join(only_changed(texts, changes, path), [path], "left")
 
 
 def line_diff(
@@ -38,11 +31,13 @@ def line_diff(
     """Lines added and removed per path: ``path, line, copies`` (negative when removed).
 
     Both versions are counted per line in one aggregation, so repeated lines
-    count as often as they occur and no text is held whole on one side.
+    count as often as they occur and no text is held whole on one side.  Only texts that changed are cut into lines.
+    ``line_hunks`` gives their places.
     """
+    changes = changed_paths(base, target, path, text, suffix)
 
     def lines(df: DataFrame, sign: int) -> DataFrame:
-        kept = df.filter(F.col(path).endswith(suffix))
+        kept = only_changed(df, changes, path)
         return kept.select(path, F.explode(F.split(text, "\n")).alias("line"), F.lit(sign).alias("_s"))
 
     both = lines(target, 1).unionByName(lines(base, -1))
