@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.common import Query, r, rounded, table
 from tidemark.functions import arrays
 from tidemark.functions.hashing import random_projection as projection
-from tidemark.operators import profile, reliability, scoring, similarity, vectors
+from tidemark.operators import near, profile, reliability, scoring, similarity, vectors
 
 # every plane has 22 values: 64 values and two zeros of padding
 PLANE = 22
@@ -256,6 +256,30 @@ k AS (
 SELECT label, vec_id, rank, {r('s', 'similarity')} FROM k WHERE rank <= 5"""
 
 
+#: The distance of the registered pairs: unit vectors at random are 1.41 apart.
+NEAR = 1.15
+
+
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different vectors at most ``NEAR`` apart."""
+    found = near.near_pairs(embeddings(spark, sf_dir), "vec_id", "v", NEAR)
+    return found.select("first_id", "second_id", *rounded("divergence"))
+
+
+def near_vectors_of_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same within each label."""
+    found = near.near_pairs(embeddings(spark, sf_dir), "vec_id", "v", NEAR, keys=["label"])
+    return found.select("label", "first_id", "second_id", *rounded("divergence"))
+
+
+def _near_sql(keys: str) -> str:
+    same, named = ("AND a.label = b.label", "a.label, ") if keys else ("", "")
+    return f"""
+WITH e AS (SELECT {keys} v, min(vec_id) AS vec_id FROM ({VECTORS_SQL}) GROUP BY {keys} v)
+SELECT {named} a.vec_id AS first_id, b.vec_id AS second_id, {r('list_distance(a.v, b.v)', 'divergence')}
+FROM e a JOIN e b ON a.vec_id < b.vec_id {same} WHERE list_distance(a.v, b.v) <= {NEAR}"""
+
+
 def _twentieth(rows: DataFrame) -> DataFrame:
     """The query set of a search: every vector whose id 20 divides."""
     return rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "v")
@@ -509,6 +533,8 @@ QUERIES = {
     "vector_centroid": Query(vector_centroid, VECTOR_CENTROID_SQL),
     "step_divergence": Query(step_divergence, STEP_DIVERGENCE_SQL),
     "pairwise_divergence": Query(pairwise_divergence, PAIRWISE_DIVERGENCE_SQL),
+    "near_vectors": Query(near_vectors, _near_sql("")),
+    "near_vectors_of_label": Query(near_vectors_of_label, _near_sql("label, ")),
     "similarity_search": Query(similarity_search, SIMILARITY_SEARCH_SQL),
     "similarity_of_vectors": Query(similarity_of_vectors, SIMILARITY_OF_VECTORS_SQL),
     "similarity_index": Query(similarity_index, SIMILARITY_OF_VECTORS_SQL),
