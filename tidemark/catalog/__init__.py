@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tidemark.catalog.common import Query
 
-MODULES = ["scoring", "vectors", "wide", "reports", "structure", "streams"]
+MODULES = ["scoring", "vectors", "wide", "reports", "structure", "source_flow", "streams"]
 
 
 def all_queries() -> dict[str, Query]:
