@@ -418,6 +418,33 @@ def latent_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "factor", *rounded("x"))
 
 
+def latent_orthogonality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of the columns of U.S, divided by their singular values: the identity."""
+    found, singular = profile.latent_factors(embeddings(spark, sf_dir), "v", 8)
+    pairs = [(i, j) for i in range(8) for j in range(i, 8)]
+    sums = found.agg(
+        *[F.sum(F.col("factors")[i] * F.col("factors")[j] / float(singular[i] * singular[j])).alias(f"p{i}_{j}") for i, j in pairs]
+    )
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{i}_{j}").alias("product")) for i, j in pairs])
+    rows = sums.select(F.explode(each).alias("e")).select("e.*")
+    # no negative zeros
+    return rows.select("i", "j", (F.round("product", 6) + 0.0).alias("product"))
+
+
+LATENT_ORTHOGONALITY_SQL = """
+SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS product
+FROM range(8) a(i), range(8) b(j) WHERE i <= j AND (SELECT count(*) FROM embeddings) >= 8"""
+
+
+def latent_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares of all 64 factors of a vector: rebuilt from them, it keeps its length."""
+    found, _ = profile.latent_factors(embeddings(spark, sf_dir), "v", 64)
+    return found.select("vec_id", arrays.norm("factors").alias("length")).select("vec_id", *rounded("length"))
+
+
+LATENT_ENERGY_SQL = f"SELECT vec_id, {r('sqrt(sum(x * x))', 'length')} FROM ({VALUES_SQL}) GROUP BY vec_id"
+
+
 def reliability_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality labels per language: score, variance and a 95% interval."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -547,6 +574,8 @@ QUERIES = {
     "score_profile": Query(score_profile, SCORE_PROFILE_SQL),
     "score_profile_wide": Query(score_profile_wide),
     "latent_factors": Query(latent_factors),
+    "latent_orthogonality": Query(latent_orthogonality, LATENT_ORTHOGONALITY_SQL),
+    "latent_energy": Query(latent_energy, LATENT_ENERGY_SQL),
     "credible_interval": Query(reliability_by_lang, RELIABILITY_SQL),
     "beta_score": Query(beta_score, BETA_SCORE_SQL),
     "beta_score_overall": Query(beta_score_overall, BETA_SCORE_OVERALL_SQL),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scores
 from tidemark.functions.hashing import on_vectors
 from tidemark.functions.arrays import doubles
+from tidemark.session import stored
 
 RIDGE = 1e-6
 TINY = 1e-12
@@ -123,18 +126,72 @@ def pair_profile(
     return rows.withColumn("profile_condition", F.col("eig_max") / (F.col("eig_min") + TINY))
 
 
+#: Triangles that are merged in one task.
+FAN = 16
+
+
+def _stacked(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = whole.flatten().to_numpy(zero_copy_only=False)
+    wide = len(values) // max(len(whole), 1)
+    if (np.asarray(whole.value_lengths()) != wide).any():
+        raise ValueError("vectors must have one common length")
+    return values.reshape(len(whole), wide)
+
+
+def _triangle_rows(triangle: np.ndarray) -> pa.Array:
+    offsets = pa.array(np.arange(len(triangle) + 1) * triangle.shape[1], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(triangle).ravel()))
+
+
+def tall_triangle(df: DataFrame, vector: str) -> np.ndarray:
+    """R of the QR factorisation of all vectors: one triangle per partition, merged as a tree.
+
+    A task holds one batch and one ``d x d`` triangle, or ``FAN`` triangles; the last triangle comes to the driver.
+    Vectors that are NULL or hold a NULL are left out.
+    """
+    whole = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+    rows = df.filter(whole).select(doubles(vector).alias("v"))
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        triangle = None
+        for batch in batches:
+            if batch.num_rows:
+                block = _stacked(batch.column(0))
+                if triangle is not None and triangle.shape[1] != block.shape[1]:
+                    raise ValueError("vectors must have one common length")
+                triangle = np.linalg.qr(block if triangle is None else np.vstack([triangle, block]), mode="r")
+        if triangle is not None:
+            node = pa.array(np.full(len(triangle), TaskContext.get().partitionId()))
+            yield pa.RecordBatch.from_arrays([node, _triangle_rows(triangle)], ["node", "v"])
+
+    def merge(part: pa.Table) -> pa.Table:
+        triangle = np.linalg.qr(_stacked(part["v"]), mode="r")
+        return pa.table([pa.array(np.full(len(triangle), part["node"][0].as_py())), _triangle_rows(triangle)], names=["node", "v"])
+
+    level = stored(rows.mapInArrow(reduce, "node long, v array<double>"), "triangles")
+    last = level.agg(F.max("node")).head()[0]
+    if last is None:
+        raise ValueError("a profile needs at least one vector")
+    nodes = last + 1
+    while nodes > 1:
+        level = level.withColumn("node", F.floor(F.col("node") / FAN)).groupBy("node").applyInArrow(merge, "node long, v array<double>")
+        nodes = -(-nodes // FAN)
+    # at most d rows
+    return _stacked(level.select("v").toArrow()["v"])
+
+
 def latent_factors(df: DataFrame, vector: str, k: int) -> tuple[DataFrame, np.ndarray]:
     """Rows of U.S of the whole table's SVD as column ``factors``, and the singular values.
 
-    The right singular vectors are the eigenvectors of the ``d x d`` Gram matrix,
-    and U.S is the table times those; the sign is fixed so that the largest
-    entry of each singular vector is positive.
+    The singular values are those of the triangle of a tall QR, so small ones keep their digits, which the squares
+    of a Gram matrix lose.  U.S is the table times the right singular vectors; the sign is fixed so that the largest
+    entry of each is positive.
     """
-    mean, covariance, count = _moments(df, vector)
-    values, basis = np.linalg.eigh(count * (covariance + np.outer(mean, mean)))
-    order = np.argsort(values)[::-1][:k]
-    singular = np.sqrt(np.clip(values[order], 0.0, None))
-    basis = basis[:, order]
+    _, singular, basis = np.linalg.svd(tall_triangle(df, vector))
+    full = np.zeros(len(basis))
+    full[: len(singular)] = singular
+    singular, basis = full[:k], basis[:k].T
     top = basis[np.abs(basis).argmax(axis=0), np.arange(basis.shape[1])]
     basis = basis * np.where(top < 0, -1.0, 1.0)
 
