@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.common import Query, r, rounded, table
 from tidemark.functions.hashing import positional_encoding as encode
-from tidemark.operators import features, graph, patterns, symbols
+from tidemark.operators import features, graph, patterns, subtrees, symbols
 from tidemark.plans.running import latest_defined
 from tidemark.session import stored
 from tidemark.sources.nodes import source_nodes, tag_nodes, tags
@@ -485,6 +485,50 @@ SUBTREE_SQL = _per_segment(
 )
 
 
+def subtree_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tag of a page that may hold others, with every opening tag inside."""
+    tags = stored(page_tags(spark, sf_dir), "tags")
+    holders = subtrees.tag_intervals(tags, "page_id").select("page_id", "ord", "end", F.lit(True).alias("holds"))
+    nodes = tags.filter("is_open").select("page_id", "ord").join(holders, ["page_id", "ord"], "left")
+    nodes = nodes.withColumn("end", F.coalesce("end", "ord"))
+    return subtrees.subtree_pairs(nodes, F.col("holds"), F.lit(True), id_column="page_id", place="ord", end="end")
+
+
+SUBTREE_PAIRS_SQL = f"""
+WITH t AS MATERIALIZED ({TAGS_SQL}),
+holders AS (
+  SELECT page_id, ord, depth FROM t WHERE is_open AND tag NOT IN ('br', 'meta', 'p')),
+ends AS (
+  SELECT h.page_id, h.ord, min(t.ord) AS closed FROM holders h JOIN t ON t.page_id = h.page_id AND t.ord > h.ord AND t.depth < h.depth
+  GROUP BY h.page_id, h.ord)
+SELECT h.page_id, h.ord AS ancestor, t.ord AS descendant
+FROM holders h LEFT JOIN ends e ON e.page_id = h.page_id AND e.ord = h.ord
+JOIN t ON t.page_id = h.page_id AND t.is_open AND t.ord > h.ord AND t.ord < coalesce(e.closed, 1000000000)"""
+
+
+def subtree_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names read inside each function or class, with the place of both."""
+    nodes = customer_nodes(spark, sf_dir)
+    holders = F.col("node_type").isin("FunctionDef", "AsyncFunctionDef", "ClassDef")
+    names = (F.col("node_type") == "Name") & F.col("is_load")
+    found = subtrees.subtree_pairs(nodes, holders, names)
+    named = nodes.select("doc_id", F.col("node_id").alias("descendant"), "name")
+    found = found.join(named, ["doc_id", "descendant"])
+    return found.groupBy("doc_id", "ancestor", "name").agg(F.count(F.lit(1)).alias("reads")).drop("ancestor")
+
+
+SUBTREE_CALLS_SQL = _per_segment(
+    ["name", "reads"],
+    [
+        ("AUTOMOBILE", "range", 1), ("AUTOMOBILE", "n", 3), ("AUTOMOBILE", "i", 3),
+        ("BUILDING", "cur", 1), ("BUILDING", "v", 2), ("BUILDING", "eval", 1),
+        ("BUILDING", "cur", 1), ("BUILDING", "v", 2), ("BUILDING", "eval", 1),
+        ("MACHINERY", "a", 2), ("MACHINERY", "b", 1),
+    ],
+    "name, CAST(reads AS BIGINT) AS reads",
+)
+
+
 def complexity_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = features.complexity_vector(customer_nodes(spark, sf_dir))
     rows = found.select("doc_id", F.posexplode("complexity").alias("slot", "value"))
@@ -559,6 +603,8 @@ QUERIES = {
     "dangerous_calls": Query(dangerous_calls, DANGEROUS_CALLS_SQL),
     "scan_flags": Query(scan_flags, SCAN_FLAGS_SQL),
     "subtree": Query(subtree, SUBTREE_SQL),
+    "subtree_pairs": Query(subtree_pairs, SUBTREE_PAIRS_SQL),
+    "subtree_calls": Query(subtree_calls, SUBTREE_CALLS_SQL),
     "complexity_vector": Query(complexity_vector, COMPLEXITY_VECTOR_SQL),
     "source_vectors": Query(source_vectors),
 }
