@@ -116,6 +116,21 @@ def test_near_components_of_families(spark, monkeypatch, small):
     assert answer(ngram_join.near_components(df)) == least_ids(list(enumerate(docs)))
 
 
+@pytest.mark.parametrize("ids", ["xxhash64(doc_id, text)", "if(doc_id = 3, 1152921504606846976, doc_id)", "cast(null as long)", "if(doc_id < 7, -9223372036854775808 + doc_id, 9223372036854775807 - doc_id)"])
+def test_fingerprints_of_wide_ids(odd, ids):
+    """Ids over the whole range of longs, one far away, and none at all."""
+    docs = odd.selectExpr(f"{ids} AS doc_id", "text")
+    rows = docs.selectExpr("doc_id", "coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS h").collect()
+    rows.sort(key=lambda r: (r.doc_id is None, -(r.doc_id or 0), -r.h))
+    expected = []
+    for k, r in enumerate(rows):
+        third = len(r.text) // 3
+        edited = r.text[: len(r.text) - third] + rows[(k + 1) % len(rows)].text[:third]
+        expected.append((r.doc_id, len(r.text), hashlib.sha256(edited.encode()).hexdigest()))
+    found = fingerprints.fingerprint_documents(docs).collect()
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in found), key=repr) == sorted(expected, key=repr)
+
+
 def test_components_of_chains(spark):
     links = [(k, k + 1) for k in range(0, 60)] + [(100, 102), (101, 102), (7, 7)]
     random.Random(1).shuffle(links)

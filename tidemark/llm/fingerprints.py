@@ -89,11 +89,13 @@ def with_next(rows: DataFrame, keys: DataFrame, values: dict[str, str]) -> DataF
     mark, to the end of the block before.
     """
     spark = rows.sparkSession
-    low, high, total = keys.agg(F.min("_key.id"), F.max("_key.id"), F.count(F.lit(1))).head()
+    # halves of ids: differences of any two stay within longs
+    half = F.shiftright("_key.id", 1)
+    low, high, total = keys.agg(F.min(half), F.max(half), F.count(F.lit(1))).head()
     low = low or 0
     width = max(1, math.ceil(((high or 0) - low + 1) / MOST_BLOCKS))
     target = max(BLOCK_ROWS, math.ceil(total / MOST_BLOCKS))
-    place = F.col("_key.id") - low
+    place = half - low
     cell = F.coalesce(F.floor(place / width), F.lit(-1)).cast("long")
     # at most MOST_BLOCKS cells; each is cut into parts of about the target, few cells into one
     cells = keys.groupBy(cell.alias("_cell")).count().orderBy("_cell").collect()
