@@ -5,7 +5,7 @@ import pytest
 from tidemark.catalog import all_queries
 
 QUERIES = all_queries()
-EAGER = {"stream_review", "stream_review_keyed", "stream_review_stored", "stream_alerts", "stream_upsert", "source_stream", "pagerank", "pagerank_forward"}
+EAGER = {"stream_review", "stream_review_keyed", "stream_review_stored", "stream_alerts", "stream_upsert", "stream_upsert_buckets", "source_stream", "pagerank", "pagerank_forward"}
 
 
 def plan(df):

@@ -18,6 +18,8 @@ from tidemark.catalog.common import Query, rounded
 from tidemark.session import run_folder
 from tidemark.sources.files import source_stream
 from tidemark.streaming.batches import read_batches
+from tidemark.streaming.buckets import read_buckets
+from tidemark.streaming.buckets import stream_upsert_buckets as start_buckets
 from tidemark.streaming.keyed import stream_review_keyed as start_keyed
 from tidemark.streaming.review import stream_alerts as start_alerts
 from tidemark.streaming.review import stream_review as start_review
@@ -128,6 +130,14 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "event_id", "event_type", "value", "props")
 
 
+def stream_upsert_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same store in buckets; each batch rewrites the buckets of its users."""
+    folder = run_folder(spark, "buckets")
+    _arrive(spark, sf_dir, folder, lambda stream: start_buckets(stream, folder, ["user_id"], scoring.ORDER, buckets=16))
+    found = read_buckets(spark, folder, scoring.scored_events(spark, sf_dir).schema)
+    return found.select("user_id", "event_id", "event_type", "value", "props")
+
+
 QUERIES = {
     "source_stream": Query(source_stream_rows, "SELECT event_id, event_type, value FROM events"),
     "stream_review": Query(stream_review, scoring.REVIEW_SQL),
@@ -135,4 +145,5 @@ QUERIES = {
     "stream_review_stored": Query(stream_review_stored, scoring.BASELINE_REVIEW_SQL),
     "stream_alerts": Query(stream_alerts, reports.CONFIDENCE_ALERTS_SQL),
     "stream_upsert": Query(stream_upsert, reports.UPSERT_LATEST_SQL),
+    "stream_upsert_buckets": Query(stream_upsert_buckets, reports.UPSERT_LATEST_SQL),
 }
