@@ -96,3 +96,13 @@ def test_unchanged_texts_stay(spark, sf_dir, monkeypatch):
     # a bitmap of one bit lets everything pass, and the join still decides
     monkeypatch.setattr(hunks, "BITMAP_BITS", 1)
     assert {r.path for r in hunks.only_changed(target, changes, "path").collect()} == wanted
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 1, 40_000])
+def test_without(spark, monkeypatch, bits):
+    monkeypatch.setattr(hunks, "BITMAP_BITS", bits)
+    df = spark.range(300).selectExpr("if(id = 7, null, id) AS k", "id AS n")
+    gone = spark.range(0, 900, 3).selectExpr("id AS k").unionByName(spark.sql("SELECT cast(null AS long) AS k"))
+    assert {r.n for r in hunks.without(df, gone, "k").collect()} == {n for n in range(300) if n % 3} | {7}
+    assert hunks.without(df, gone.limit(0), "k").count() == 300
+    assert {r.n for r in hunks.only_changed(df, gone, "k").collect()} == set(range(0, 300, 3))

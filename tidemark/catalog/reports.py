@@ -332,8 +332,8 @@ def document_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
         "doc_id", F.concat(F.col("doc_id"), F.lit("."), F.col("lang")).alias("path"), "text"
     )
     labels = table(spark, sf_dir, "labels")
-    base = rows.join(labels.filter("toxic = 1").select("doc_id"), ["doc_id"], "left_anti")
-    kept = rows.join(labels.filter("quality = 0").select("doc_id"), ["doc_id"], "left_anti")
+    base = hunks.without(rows, labels.filter("toxic = 1").select("doc_id"), "doc_id")
+    kept = hunks.without(rows, labels.filter("quality = 0").select("doc_id"), "doc_id")
     masked = F.regexp_replace("text", r'token\s*=\s*"[0-9a-f]{40}"', 'token = "***"')
     return base.select("path", "text"), kept.select("path", masked.alias("text"))
 

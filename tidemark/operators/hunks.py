@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import stored
+
 #: Bits of the bitmap of changed paths: 8 MB, whatever the tables' sizes.
 BITMAP_BITS = 1 << 26
 #: Masks of lines that occur often, kept while a text is compared.
@@ -40,19 +42,32 @@ def _bit(path: str) -> Column:
     return F.pmod(F.xxhash64(path), F.lit(BITMAP_BITS)) + 1
 
 
-def only_changed(df: DataFrame, changes: DataFrame, path: str) -> DataFrame:
-    """The rows whose path is in ``changes``; nearly all others are dropped before the join moves them."""
-    bits = changes.select(_bit(path).alias("_bit"))
+def _marked(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Add ``_hit``: false only where the column's value is surely not in ``ids``.  Nothing is moved for it."""
+    bits = ids.select(_bit(column).alias("_bit"))
     bits = bits.groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bits")
     )
-    marked = df.withColumn("_bucket", F.bitmap_bucket_number(_bit(path)))
+    marked = df.withColumn("_bucket", F.bitmap_bucket_number(_bit(column)))
     # at most BITMAP_BITS / 32768 rows of 4 KB
-    marked = marked.join(F.broadcast(bits), "_bucket")
-    at = F.bitmap_bit_position(_bit(path))
+    marked = marked.join(F.broadcast(bits), ["_bucket"], "left")
+    at = F.bitmap_bit_position(_bit(column))
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
-    return marked.filter(hit).drop("_bucket", "_bits").join(changes.select(path), [path], "left_semi")
+    return marked.withColumn("_hit", F.coalesce(hit, F.lit(False))).drop("_bucket", "_bits")
+
+
+def only_changed(df: DataFrame, changes: DataFrame, path: str) -> DataFrame:
+    """The rows whose path is in ``changes``; nearly all others are dropped before the join moves them."""
+    hit = _marked(df, changes, path).filter("_hit").drop("_hit")
+    return hit.join(changes.select(path), [path], "left_semi")
+
+
+def without(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose value is not in ``ids``; only rows that may be in it are moved.  ``df`` is read twice."""
+    marked = _marked(df, ids, column)
+    maybe = marked.filter("_hit").drop("_hit").join(ids.select(column), [column], "left_anti")
+    return marked.filter("not _hit").drop("_hit").unionByName(maybe)
 
 
 # -- one pair of texts ---------------------------------------------------------------------------------------------
@@ -180,7 +195,7 @@ def line_hunks(base: DataFrame, target: DataFrame, path: str, text: str, *, suff
     ``op`` is ``-`` for a line of the old text and ``+`` for one of the new; ``place`` orders the lines of a hunk.
     An added path has new lines only, a removed one old lines only.
     """
-    changes = changed_paths(base, target, path, text, suffix)
+    changes = stored(changed_paths(base, target, path, text, suffix), "changed-paths")
     old = only_changed(base.select(path, F.col(text).alias("_old")).filter("_old is not null"), changes, path)
     new = only_changed(target.select(path, F.col(text).alias("_new")).filter("_new is not null"), changes, path)
     rows = old.join(new, [path], "full_outer").select(path, "_old", "_new")
@@ -203,6 +218,7 @@ def line_hunks(base: DataFrame, target: DataFrame, path: str, text: str, *, suff
 
 def apply_hunks(base: DataFrame, hunks: DataFrame, path: str, text: str) -> DataFrame:
     """``path text`` of all paths that have hunks: the old text of ``base`` after them, NULL for a removed path."""
+    hunks = stored(hunks.select(path, *HUNK_COLUMNS), "hunks")
     steps = F.array_sort(F.collect_list(F.struct("hunk", "place", "old_start", "op", "line")))
     scripts = hunks.groupBy(path).agg(steps.alias("_steps"))
     old = only_changed(base.select(path, F.col(text).alias("_old")), hunks.select(path).distinct(), path)

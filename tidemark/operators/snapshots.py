@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.hunks import changed_paths, only_changed
+from tidemark.session import stored
 
 DRIFT_RATIO = 1.5
 
@@ -20,7 +21,7 @@ def snapshot_diff(
     Paths are unique inside a snapshot.  Hashes are joined first; texts of unchanged paths are not moved.
     A NULL text counts as a path that is not there.
     """
-    changes = changed_paths(base, target, path, text, suffix)
+    changes = stored(changed_paths(base, target, path, text, suffix), "changed-paths")
     texts = target.select(path, F.col(text).alias("new_content")).filter(F.col("new_content").isNotNull())
     return changes.join(only_changed(texts, changes, path), [path], "left")
 
@@ -34,7 +35,7 @@ def line_diff(
     count as often as they occur and no text is held whole on one side.  Only texts that changed are cut into lines.
     ``line_hunks`` gives their places.
     """
-    changes = changed_paths(base, target, path, text, suffix)
+    changes = stored(changed_paths(base, target, path, text, suffix), "changed-paths")
 
     def lines(df: DataFrame, sign: int) -> DataFrame:
         kept = only_changed(df, changes, path)
