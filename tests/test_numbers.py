@@ -2,6 +2,9 @@
 
 import math
 import random
+import statistics
+from collections import defaultdict
+from decimal import Decimal, localcontext
 
 import numpy as np
 import pytest
@@ -9,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import arrays, beta, scores
 from tidemark.functions.hashing import gaussian_weights
+from tidemark.functions.images import double_image
 from tidemark.operators import profile, reliability, reports, scoring, similarity, vectors
-from tidemark.plans.segments import Split
+from tidemark.plans.segments import DEFAULT_SPLIT, Split
 
 
 def one(spark, column):
@@ -234,14 +238,73 @@ def test_beta(spark):
     assert (got.alpha, got.beta) == (4.0, 2.0)
     assert got.score == pytest.approx(0.666667, abs=1e-6)
     assert got.variance == pytest.approx(0.031746, abs=1e-6)
-    for a, b in [(1, 1), (4, 2), (1, 30), (200, 3)]:
-        low, high = one(spark, beta.beta_quantiles(F.lit(float(a)), F.lit(float(b)), [0.025, 0.975]))
-        assert exact_beta_cdf(low, a, b) == pytest.approx(0.025, abs=2e-4)
-        assert exact_beta_cdf(high, a, b) == pytest.approx(0.975, abs=2e-4)
-    # a billion outcomes keep their precision
-    low, high = one(spark, beta.beta_quantiles(F.lit(6e8), F.lit(4e8), [0.025, 0.975]))
+
+
+def test_quantiles_against_closed_forms(spark):
+    levels = [0.001, 0.025, 0.5, 0.975]
+    whole, many = [(1, 1), (4, 2), (1, 30), (200, 3)], [1, 3, 40, 5000, 10**9]
+    counts = whole + [(1, n) for n in many] + [(n, 1) for n in many] + [(6 * 10**8, 4 * 10**8), (0.5, 0.5), (None, 2)]
+    df = spark.createDataFrame([(None if a is None else float(a), float(b)) for a, b in counts], "a double, b double")
+    rows = df.select("a", "b", beta.beta_quantiles(F.col("a"), F.col("b"), levels).alias("q")).collect()
+    got = {(r.a, r.b): r.q for r in rows}
+    assert set(got[(None, 2)] or [None]) == {None}
+    for a, b in whole:
+        assert [exact_beta_cdf(x, a, b) for x in got[(a, b)]] == pytest.approx(levels, abs=1e-11)
+    for n in many:
+        assert got[(1, n)] == pytest.approx([-math.expm1(math.log1p(-p) / n) for p in levels], rel=1e-10)
+        assert got[(n, 1)] == pytest.approx([p ** (1 / n) for p in levels], rel=1e-10)
+    # a billion outcomes are nearly normal; the arcsine law
     sd = math.sqrt(0.24 / 1e9)
-    assert (low, high) == pytest.approx((0.6 - 1.95996 * sd, 0.6 + 1.95996 * sd), abs=1e-3 * sd)
+    assert got[(6e8, 4e8)][1::2] == pytest.approx([0.6 - 1.959964 * sd, 0.6 + 1.959964 * sd], abs=1e-4 * sd)
+    assert got[(0.5, 0.5)] == pytest.approx([math.sin(math.pi * p / 2) ** 2 for p in levels], abs=1e-11)
+
+
+def test_both_ways_of_the_integral_meet(spark):
+    points = [(x, c) for x in (0.48, 0.5, 0.51) for c in (1000.0, 1001.0)]
+    df = spark.createDataFrame(points, "x double, c double")
+    for r in df.withColumn("mass", beta.beta_cdf(F.col("x"), F.col("c"), F.col("c"))).collect():
+        c, x = int(r.c), Decimal(r.x)
+        with localcontext(prec=40):
+            terms = (math.comb(2 * c - 1, j) * x**j * (1 - x) ** (2 * c - 1 - j) for j in range(c, 2 * c))
+            assert r.mass == pytest.approx(float(sum(terms)), abs=1e-11)
+
+
+def test_images_keep_order(spark):
+    rng = np.random.default_rng(5)
+    edges = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, math.inf, -math.inf, 1 - 2.0**-53]
+    values = edges + rng.integers(0, 2**64, 3000, dtype=np.uint64).view(np.float64).tolist()
+    values += [2.0**k * (1 - 2.0**-53) for k in range(-1000, 1000, 13)]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    for row in df.select("v", double_image(F.col("v")).alias("i")).collect():
+        if row.v is None:
+            assert row.i is None
+        elif math.isnan(row.v):
+            assert row.i == 2047 * 2**52 + 1
+        else:
+            bits = int(np.array(abs(row.v)).view(np.int64))
+            assert row.i == (-bits if row.v < 0 else bits)
+
+
+@pytest.mark.parametrize("kind", ["float", "decimal(15,2)", "decimal(30,2)"])
+def test_medians_by_selection(spark, kind):
+    rng = np.random.default_rng(6)
+    made = [rng.normal(0, 1e5, 700), rng.integers(-4, 5, 900) * 1.0, rng.random(400) * 1e-3]
+    rows = [(k, float(v)) for k, n in (("a", 901), ("b", 500), (None, 500)) for v in rng.choice(np.concatenate(made), n)]
+    rows += [("c", 7.0), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double").select("k", F.col("v").cast(kind).alias("v"))
+    values = defaultdict(list)
+    for row in df.collect():
+        if row.v is not None:
+            values[row.k].append(float(row.v))
+    split = Split(hot_rows=200) if kind == "float" else DEFAULT_SPLIT
+    got = {r.k: float(r["median"]) for r in reports.distribution_summary(df, "v", ["k"], split=split).collect()}
+    assert got == pytest.approx({k: statistics.median(v) for k, v in values.items()}, rel=1e-12)
+
+
+def test_median_without_keys(spark):
+    values = np.random.default_rng(7).normal(0, 1e5, 800).tolist() + [math.inf, -math.inf]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert reports.distribution_summary(df, "v").head()["median"] == statistics.median(values)
 
 
 def test_summary_edges(spark):

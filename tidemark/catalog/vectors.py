@@ -460,36 +460,28 @@ SELECT lang, 1.0 + sum(quality) AS alpha, 1.0 + sum(1 - quality) AS beta
 FROM labels JOIN documents USING (doc_id) GROUP BY lang"""
 
 
-def _interval_sql(counts: str, key: str) -> str:
-    """Quantiles by the same sum over cells, written with a cumulative window."""
-    return f"""
-WITH b AS ({counts}),
+# Quantiles of whole counts as sums of binomial terms, each halved into place.
+RELIABILITY_SQL = f"""
+WITH RECURSIVE b AS ({_BETA_SQL}),
 s AS (
-  SELECT {key}, CAST(alpha AS DOUBLE) AS alpha, CAST(beta AS DOUBLE) AS beta,
-         alpha / (alpha + beta) AS score,
-         alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1.0)) AS variance FROM b),
-w AS (
-  SELECT *, greatest(score - 10.0 * sqrt(variance), 0.0) AS low,
-         (least(score + 10.0 * sqrt(variance), 1.0) - greatest(score - 10.0 * sqrt(variance), 0.0)) / 1000 AS width
-  FROM s),
-g AS (
-  SELECT w.*, i, (alpha - 1.0) * ln(low + (i + 0.5) * width)
-                 + (beta - 1.0) * ln(1.0 - (low + (i + 0.5) * width)) AS y
-  FROM w, range(1000) t(i)),
-m AS (SELECT *, exp(y - max(y) OVER (PARTITION BY {key})) AS mass FROM g),
-c AS (
-  SELECT *, sum(mass) OVER (PARTITION BY {key} ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto,
-         sum(mass) OVER (PARTITION BY {key}) AS whole FROM m),
+  SELECT lang, CAST(alpha AS DOUBLE) AS alpha, CAST(beta AS DOUBLE) AS beta, alpha / (alpha + beta) AS score,
+         alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1.0)) AS variance,
+         CAST(alpha AS BIGINT) AS a, CAST(alpha + beta AS BIGINT) - 1 AS n FROM b),
+h AS (
+  SELECT lang, a, n, level, 0 AS step, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high
+  FROM s, (VALUES (0.025::DOUBLE), (0.975::DOUBLE)) t(level)
+  UNION ALL
+  SELECT lang, a, n, level, step + 1, CASE WHEN mass < level THEN (low + high) / 2 ELSE low END,
+         CASE WHEN mass < level THEN high ELSE (low + high) / 2 END
+  FROM (
+    SELECT *, list_sum(list_transform(range(a, n + 1), lambda j: exp(
+      lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln((low + high) / 2) + (n - j) * ln(1 - (low + high) / 2)
+    ))) AS mass
+    FROM h WHERE step < 45)),
 q AS (
-  SELECT {key},
-         min_by(low + width * (i + (0.025 * whole - upto + mass) / mass), i) FILTER (upto >= 0.025 * whole) AS lower,
-         min_by(low + width * (i + (0.975 * whole - upto + mass) / mass), i) FILTER (upto >= 0.975 * whole) AS upper
-  FROM c GROUP BY {key})
-SELECT {key}, alpha, beta, {r('score', 'score')}, {r('variance', 'variance')}, {r('lower', 'lower')}, {r('upper', 'upper')}
-FROM s JOIN q USING ({key})"""
-
-
-RELIABILITY_SQL = _interval_sql(_BETA_SQL, "lang")
+  SELECT lang, max(low) FILTER (level < 0.5) AS lower, max(low) FILTER (level > 0.5) AS upper FROM h WHERE step = 45 GROUP BY lang)
+SELECT lang, alpha, beta, {r('score', 'score')}, {r('variance', 'variance')}, {r('lower', 'lower')}, {r('upper', 'upper')}
+FROM s JOIN q USING (lang)"""
 
 
 def beta_score(spark: SparkSession, sf_dir: str) -> DataFrame:

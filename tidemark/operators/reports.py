@@ -6,11 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import scores
+from tidemark.functions.images import long_image
 from tidemark.plans.joins import join_per_key
 from tidemark.plans.running import running_sums
-from tidemark.plans.segments import DEFAULT_SPLIT, Split
+from tidemark.plans.segments import DEFAULT_SPLIT, Split, join_keys
+from tidemark.session import stored
 
 TINY = 1e-12
 
@@ -19,7 +22,7 @@ def record_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("record_count"))
 
 
-def _medians(df: DataFrame, keys: Sequence[str], value: str, split: Split) -> DataFrame:
+def _medians_of_counts(df: DataFrame, keys: Sequence[str], value: str, split: Split) -> DataFrame:
     """Exact medians from value counts: no task has to hold all values of a key."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     ranked = running_sums(counts, keys, [value], {"_upto": F.col("_c")}, split=split)
@@ -37,6 +40,57 @@ def _medians(df: DataFrame, keys: Sequence[str], value: str, split: Split) -> Da
     return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"))
 
 
+def _medians(df: DataFrame, keys: Sequence[str], value: str, split: Split) -> DataFrame:
+    """Exact medians; values without a long image are counted and ranked one by one."""
+    image = long_image(F.col(value), df.schema[value].dataType)
+    if image is None:
+        return _medians_of_counts(df, keys, value, split)
+    return _medians_by_selection(df.withColumn("_image", image), keys, value, split)
+
+
+def _medians_by_selection(rows: DataFrame, keys: Sequence[str], value: str, split: Split) -> DataFrame:
+    """Both middle values of every key by counting, sixteen bits of the image at a time.
+
+    A round counts the rows of each key in the cell that holds a middle place, by
+    the next bits of their images: at most 65,536 counts per key and round, pre-summed
+    before the shuffle, and four rounds whatever the values are.  Values are
+    never sorted; ``rows`` is read once per round.
+    """
+    places = None
+    for shift in (48, 32, 16, 0):
+        cell = F.shiftright("_image", shift)
+        if places is None:
+            found = rows.withColumn("_cell", cell)
+            scope = list(keys)
+        else:
+            scope = [*keys, "_upper"]
+            found = rows.select(*keys, value, cell.alias("_cell"), F.shiftright("_image", shift + 16).alias("_upper"))
+            known = places.select(*scope, F.col("_c").alias("_rows")).distinct()
+            held = known.drop("_rows")
+            found = join_per_key(found, held, scope, ["_cell"], how="inner", split=split, counts=known)
+        measures = [F.count(F.lit(1)).alias("_c"), F.max(value).alias("_value")]
+        counts = found.groupBy(*scope, "_cell").agg(*measures)
+        inside = Window.partitionBy(*scope)
+        upto = F.sum("_c").over(inside.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
+        counts = counts.withColumn("_upto", upto)
+        if places is None:
+            counts = counts.withColumn("_total", F.sum("_c").over(inside))
+            middle = F.array(F.floor((F.col("_total") + 1) / 2), F.ceil((F.col("_total") + 1) / 2))
+            counts = counts.withColumn("_place", F.explode(F.array_distinct(middle)))
+        else:
+            counts = join_keys(counts, places.drop("_c"), scope, "inner")
+        held = counts.filter((F.col("_upto") - F.col("_c") < F.col("_place")) & (F.col("_place") <= F.col("_upto")))
+        rest = (F.col("_place") - F.col("_upto") + F.col("_c")).alias("_place")
+        # at most two rows per key; written, so that no round repeats the earlier ones
+        places = stored(held.select(*keys, F.col("_cell").alias("_upper"), rest, "_c", "_value"), "middles")
+        if shift:
+            places = places.drop("_value")
+    low, high = F.min("_value"), F.max("_value")
+    if isinstance(rows.schema[value].dataType, T.FloatType):
+        low, high = low.cast("double"), high.cast("double")
+    return places.groupBy(*keys).agg(((low + high) / 2).alias("median"))
+
+
 def distribution_summary(
     df: DataFrame, value: str, keys: Sequence[str] = (), *, split: Split = DEFAULT_SPLIT
 ) -> DataFrame:

@@ -7,16 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.segments import DEFAULT_SPLIT, Split, hot_keys, join_keys
+from tidemark.plans.segments import DEFAULT_SPLIT, Split, hot_keys, hot_of_counts, join_keys
 
 SALT = "_salt"
 
 
-def find_hot(rows: DataFrame, keys: Sequence[str], split: Split = DEFAULT_SPLIT) -> DataFrame | None:
+def find_hot(
+    rows: DataFrame, keys: Sequence[str], split: Split = DEFAULT_SPLIT, counts: DataFrame | None = None
+) -> DataFrame | None:
     """The hot keys of a table with their number of pieces as a local list, or None where there are none."""
     if split.hot_rows is None:
         return None
-    found = hot_keys(rows, keys, split).select(*keys, "_pieces")
+    found = hot_keys(rows, keys, split) if counts is None else hot_of_counts(counts, split)
+    found = found.select(*keys, "_pieces")
     hot = found.collect()  # at most most_pieces rows
     if not hot:
         return None
@@ -49,14 +52,16 @@ def join_per_key(
     *,
     how: str = "left",
     split: Split = DEFAULT_SPLIT,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``per_key`` (one row per key) to ``rows`` on ``keys``.
 
     Spark chooses between broadcast and shuffle by size.  Rows of a hot key are
     spread over one salt per piece (``Split``) by the hash of the ``spread`` columns, which should
-    tell the rows of a key apart, and the row of that key is repeated for each.
+    tell the rows of a key apart, and the row of that key is repeated for each.  ``counts``
+    (``keys`` and ``_rows``), where they are known, spare a pass over ``rows``.
     """
-    hot = find_hot(rows, keys, split)
+    hot = find_hot(rows, keys, split, counts)
     if hot is None:
         return join_keys(rows, per_key, keys, how)
     salted = spread_rows(rows, hot, keys, spread)

@@ -73,7 +73,11 @@ def join_keys(
 
 def hot_keys(df: DataFrame, keys: Sequence[str], split: Split = DEFAULT_SPLIT) -> DataFrame:
     """Keys above the limit with ``_rows`` and ``_pieces``: at most ``most_pieces`` rows, so safe to broadcast."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return hot_of_counts(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), split)
+
+
+def hot_of_counts(counts: DataFrame, split: Split = DEFAULT_SPLIT) -> DataFrame:
+    """The same from known counts per key, in column ``_rows``."""
     total = counts.agg(F.sum("_rows").alias("_rows")).scalar()
     limit = F.greatest(F.lit(split.hot_rows), F.ceil(total / split.most_pieces), F.lit(1))
     return counts.filter(F.col("_rows") > limit).withColumn("_pieces", F.ceil(F.col("_rows") / limit).cast("int"))
