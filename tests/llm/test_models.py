@@ -253,7 +253,7 @@ def test_regression_on_fitted_and_unseen_names(spark):
         blocked, allowed = counts[1, "block"], counts[0, "allow"]
         right.append((blocked / (blocked + counts[1, "allow"]), allowed / (allowed + counts[0, "block"])))
     assert min(right[0]) > 0.98
-    # measured: 137 of 216 and 213 of 289
+    # measured: 132 of 216 and 229 of 289
     assert right[1][0] > 0.6 and right[1][1] > 0.7
 
 

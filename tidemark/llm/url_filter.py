@@ -108,14 +108,15 @@ def _grams(text: Column, size: int) -> Column:
     return F.transform(places, lambda at: F.substring(text, at, F.lit(size)))
 
 
+def _tagged(grams: Column, tag: str) -> Column:
+    # the tag must not be a parameter of the lambda: a second one would be given the place of the gram
+    return F.transform(grams, lambda gram: F.concat(F.lit(tag), gram))
+
+
 def features(host: Column, path: Column) -> Column:
     """Distinct hash buckets of the n-grams of host and path, each with marks at its ends."""
     marked = [F.concat(F.lit("^"), host, F.lit("$")), F.concat(F.lit("/"), path, F.lit("$"))]
-    parts = [
-        F.transform(_grams(text, size), lambda g, tag=tag: F.concat(F.lit(tag), g))
-        for tag, text in zip("hp", marked)
-        for size in SIZES
-    ]
+    parts = [_tagged(_grams(text, size), tag) for tag, text in zip("hp", marked) for size in SIZES]
     return F.array_distinct(F.transform(F.concat(*parts), lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int")))
 
 
