@@ -9,7 +9,7 @@ from tidemark.catalog.common import Query, r, rounded, table
 from tidemark.functions.hashing import positional_encoding as encode
 from tidemark.operators import features, graph, patterns, subtrees, symbols
 from tidemark.plans.running import latest_defined
-from tidemark.session import stored
+from tidemark.session import joined_by_sort, stored
 from tidemark.sources.nodes import source_nodes, tag_nodes, tags
 from tidemark.sources.store import flatten_struct
 
@@ -319,7 +319,7 @@ def customer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customer_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed once and stored: most queries need the nodes several times."""
-    return stored(source_nodes(customer_sources(spark, sf_dir)), "nodes")
+    return joined_by_sort(stored(source_nodes(customer_sources(spark, sf_dir)), "nodes"))
 
 
 def _per_segment(columns: list[str], rows: list[tuple], select: str) -> str:

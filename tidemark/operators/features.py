@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.arrays import concat_vectors
 from tidemark.functions.hashing import positional_encoding, random_projection
 from tidemark.operators import graph, reports, symbols
+from tidemark.session import joined_by_sort
 
 # fixed values
 SYNTAX_DIM = 512
@@ -75,7 +76,7 @@ def complexity_vector(nodes: DataFrame, *, iterations: int = graph.ITERATIONS) -
         F.stddev_pop("rank").alias("rank_std"),
     )
     parts = [depths, kinds, edge_counts, ranks, scope]
-    rows = reduce(lambda left, right: left.join(right, ["doc_id"], "left"), parts)
+    rows = reduce(lambda left, right: left.join(joined_by_sort(right), ["doc_id"], "left"), parts)
     slots = [
         *[f"n_{k}" for k in KINDS],
         "loop_depth", "branch_depth", "n_nodes", "n_edges", "rank_mean", "rank_std", "entropy",
@@ -109,7 +110,7 @@ def source_vectors(nodes: DataFrame, *, iterations: int = graph.ITERATIONS) -> D
     }
     rows = symbol_vector(nodes, iterations=iterations)
     for part, _ in planes.values():
-        rows = rows.join(part, ["doc_id"], "left")
+        rows = rows.join(joined_by_sort(part), ["doc_id"], "left")
     projected = []
     for name, (_, dim) in planes.items():
         padded = F.coalesce(F.col(name), F.array_repeat(F.lit(0.0), dim))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import joined_by_sort
+
 # fixed values
 SECRET_PATTERNS = {
     "api_key": r"""api[_-]key\s*=\s*['"][a-zA-Z0-9]{32,}['"]""",
@@ -108,7 +110,7 @@ def scan_flags(
         .agg(has("eval_exec"), has("sql_injection"), has("failed"))
     )
     secret = has_secret(F.col("text"), patterns)
-    rows = sources.select("doc_id", secret.alias("_secret")).join(marks, ["doc_id"], "left")
+    rows = sources.select("doc_id", secret.alias("_secret")).join(joined_by_sort(marks), ["doc_id"], "left")
     parsed = ~F.coalesce(F.col("_failed"), F.lit(False))
     flags = F.struct(
         (parsed & F.coalesce("_sql_injection", F.lit(False))).alias("sql_injection"),

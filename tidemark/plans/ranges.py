@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.segments import join_keys
+from tidemark.session import joined_by_sort
 
 LEVEL, BLOCK = "_level", "_dyadic"
 
@@ -55,4 +56,5 @@ def join_in_range(
     ])
     placed = points.filter(F.col(point).isNotNull()).withColumn("_piece", F.explode(own))
     placed = placed.withColumns({LEVEL: F.col("_piece.level"), BLOCK: F.col("_piece.block")}).drop("_piece")
-    return join_keys(placed, covered, [*keys, LEVEL, BLOCK], "inner").drop(LEVEL, BLOCK)
+    # a few bytes on disk may stand for many pieces
+    return join_keys(joined_by_sort(placed), covered, [*keys, LEVEL, BLOCK], "inner").drop(LEVEL, BLOCK)
