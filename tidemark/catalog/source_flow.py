@@ -12,7 +12,7 @@ from tidemark.catalog.common import Query, table
 from tidemark.catalog.structure import customer_sources
 from tidemark.functions import scores
 from tidemark.operators import source_review
-from tidemark.session import stored
+from tidemark.session import joined_by_sort, stored
 from tidemark.sources.store import flatten_struct, parse_metadata, upsert_latest
 
 KEYS, ORDER = ["c_nationkey"], ["c_custkey"]
@@ -24,7 +24,7 @@ METADATA = (
 
 def _vectorised(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = customer_sources(spark, sf_dir).withColumnRenamed("doc_id", "c_custkey")
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal").join(texts, ["c_custkey"])
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal").join(joined_by_sort(texts), ["c_custkey"])
     rows = rows.select(*[c for c in rows.columns if c != "text"], F.col("c_custkey").alias("source_id"), F.col("text").alias("source"))
     return stored(source_review.vectorise(rows), "vectorised")
 

@@ -20,7 +20,7 @@ from tidemark.operators import features, patterns, profile, scoring, similarity,
 from tidemark.operators.hunks import changed_paths, only_changed
 from tidemark.plans.segments import DEFAULT_SPLIT, Split
 from tidemark.plans.wide import vector_moments
-from tidemark.session import stored
+from tidemark.session import joined_by_sort, stored
 from tidemark.sources.nodes import source_nodes
 from tidemark.sources.store import metadata_to_json
 
@@ -39,10 +39,11 @@ def vectorise(sources: DataFrame, *, patterns_of_secrets: dict[str, str] = patte
     Ids are unique.  Nodes are stored once; every part of the vector reads its columns of them.
     """
     texts = sources.select(F.col("source_id").alias("doc_id"), F.col("source").alias("text"))
-    nodes = stored(source_nodes(texts), "source-nodes")
-    found = features.source_vectors(nodes).join(patterns.scan_flags(texts, nodes, patterns_of_secrets), ["doc_id"], "right")
+    nodes = joined_by_sort(stored(source_nodes(texts), "source-nodes"))
+    flags = patterns.scan_flags(texts, nodes, patterns_of_secrets)
+    found = joined_by_sort(features.source_vectors(nodes)).join(flags, ["doc_id"], "right")
     found = found.withColumnRenamed("doc_id", "_id")
-    rows = sources.join(found, sources["source_id"] == found["_id"], "left").drop("_id")
+    rows = sources.join(joined_by_sort(found), sources["source_id"] == found["_id"], "left").drop("_id")
     none = F.struct(*[F.lit(False).alias(name) for name in patterns.FLAGS])
     return rows.withColumn("security_flags", F.coalesce("security_flags", none))
 
