@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.streams import QUERIES
 from tidemark.operators import scoring
 from tidemark.sources.files import source_stream
-from tidemark.streaming.keyed import PROVIDER_KEY, stream_review_keyed
+from tidemark.streaming.keyed import ID, PROVIDER_KEY, X, _initial_rows, stream_review_keyed
 
 
 @pytest.mark.parametrize("name", ["stream_review_keyed", "stream_review_stored"])
@@ -91,3 +91,10 @@ def test_no_rows(spark, tmp_path):
     df = table(spark)
     found, _ = run(spark, df, str(tmp_path / "empty"), [1000, 1001, 1002])
     assert found.count() == 0
+
+
+def test_state_starts_from_one_row_per_key(spark):
+    """Stored vectors reach the state as moments; different ids come one by one."""
+    rows = spark.range(300).select((F.col("id") % 3).alias("k"), F.array(F.col("id") / 7, F.lit(1.0)).alias(X), (F.col("id") % 12).cast("string").alias(ID))
+    assert _initial_rows(rows, ["k"], False).count() == 3
+    assert _initial_rows(rows, ["k"], True).count() == 3 + 12
