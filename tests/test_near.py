@@ -1,6 +1,7 @@
 """Pairs within a distance against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.operators import near
@@ -66,3 +67,14 @@ def test_odd_tables(spark):
     mixed = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, v array<double>")
     with pytest.raises(Exception, match="one common length"):
         near.near_pairs(mixed, "id", "v", 1.0).collect()
+
+
+def test_neighbours_meet_once():
+    """A row that visits a neighbouring cell gives its pairs there whichever id is smaller; rows of one cell meet twice."""
+    schema = pa.schema([("first_id", pa.int64()), ("second_id", pa.int64()), ("divergence", pa.float64())])
+    own = pa.table({"_id": [1, 2, 3], "_v": [[0.0, 0.0], [0.5, 0.0], [9.0, 9.0]]})
+    guests = pa.table({"_id": [2, 2], "_v": [[0.0, 0.1], [0.0, 0.1]], "_visits": [True, False]})
+    found = near._pairs_of(guests, own, 0, 1.0, schema).to_pydict()
+    assert list(zip(found["first_id"], found["second_id"])) == [(1, 2)]
+    same_cell = guests.set_column(2, "_visits", pa.array([False, False]))
+    assert near._pairs_of(same_cell, own, 0, 1.0, schema).num_rows == 0

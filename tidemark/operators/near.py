@@ -61,7 +61,10 @@ def vector_classes(df: DataFrame, id_column: str, vector: str, keys: Sequence[st
 
 
 def _pairs_of(left: pa.Table, right: pa.Table, width: int, within: float, schema: pa.Schema) -> pa.Table:
-    """Pairs of a block and another with the smaller id on the left, at most ``within`` apart."""
+    """Pairs of a block and another, at most ``within`` apart, once each and with the smaller id first.
+
+    Two rows of one cell meet twice, rows of neighbouring cells once.
+    """
     if not left.num_rows or not right.num_rows:
         return schema.empty_table()
     a, b = _rows(left["_v"]), _rows(right["_v"])
@@ -85,8 +88,10 @@ def _pairs_of(left: pa.Table, right: pa.Table, width: int, within: float, schema
     x, y, far = pa.array(x[near]), pa.array(y[near]), far[near]
     ids = [left["_id"].take(x), right["_id"].take(y)]
     ordered = pc.less(ids[0], ids[1])
+    wanted = pc.or_(ordered, pc.and_(left["_visits"].take(x), pc.not_equal(ids[0], ids[1])))
+    ids = [pc.if_else(ordered, *ids), pc.if_else(ordered, *ids[::-1])]
     keys = [left[f"_k{k}"].take(x) for k in range(width)]
-    return pa.table([*keys, *ids, pa.array(far)], names=schema.names).cast(schema).filter(ordered)
+    return pa.table([*keys, *ids, pa.array(far)], names=schema.names).cast(schema).filter(wanted)
 
 
 def near_pairs(
@@ -124,8 +129,11 @@ def near_pairs(
 
     placed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     placed = stored(rows.mapInArrow(place, f"{placed}, _cell array<long>"), "placed-vectors")
-    shifts = F.array(*[F.array(*[F.lit(s) for s in shift]) for shift in product((-1, 0, 1), repeat=len(chosen))])
+    # of two neighbouring cells one visits the other: its own and those after it in order
+    half = [shift for shift in product((-1, 0, 1), repeat=len(chosen)) if shift >= (0,) * len(chosen)]
+    shifts = F.array(*[F.array(*[F.lit(s) for s in shift]) for shift in half])
     around = placed.withColumn("_shift", F.explode(shifts))
+    around = around.withColumn("_visits", F.exists("_shift", lambda s: s != 0))
     around = around.withColumn("_cell", F.zip_with("_cell", "_shift", lambda c, s: c + s)).drop("_shift")
     cell = [*by, "_cell"]
     # blocks of each side by the number of rows that meet in the cell
@@ -144,5 +152,7 @@ def near_pairs(
         return _pairs_of(left, right, wide, most, arrow)
 
     group = [*cell, "_x", "_y"]
-    left, right = (part.select(*[F.col(c).alias(c) for c in [*group, "_id", "_v"]]) for part in (others, own))
+    left, right = (
+        part.select(*[F.col(c).alias(c) for c in [*group, "_id", "_v", *more]]) for part, more in ((others, ["_visits"]), (own, []))
+    )
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(meet, schema)
