@@ -311,3 +311,36 @@ def test_score_learns_from_seven_bytes(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r.score for r in lm_scoring.score(df, F.col("doc_id") >= 100).collect()}
     assert found[100] > found[101] + 1.5
+
+
+def test_score_moves_no_texts(spark, odd, monkeypatch):
+    kept = []
+
+    def keep(df, name, codec=None):
+        kept.append((name, df.columns))
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(lm_scoring, "stored", keep)
+    found = lm_scoring.score(odd, fold(F.col("doc_id")))
+    assert kept and not [name for name, columns in kept if "text" in columns]
+    shuffled = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "text" in x]
+    assert not shuffled
+    check_scores(odd, found.collect())
+
+
+def test_score_finds_decisions_by_place(spark):
+    grams = spark.createDataFrame([(97, 3), (97 << 8 | 98, 2), (98 << 8 | 32, 2)], "gram long, n long")
+    for table in lm_scoring.build(grams):
+        assert table.schema["nodes"].dataType.typeName() == "array"
+        assert {len(r.nodes) for r in table.collect()} == {256}
+        # the first decision of a byte is node 1
+        assert all(r.nodes[0] is None and r.nodes[1] is not None for r in table.collect())
+
+
+def test_score_in_many_batches_and_with_large_texts(spark, monkeypatch):
+    # batches that end inside an Arrow batch, and more tokens than a batch holds at once
+    rows = [(k, " ".join(f"w{j % (k + 2)}" for j in range(30 * k))) for k in range(1, 40)] + [(None, "w1 w2"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    for chars in (200, 1_000):
+        monkeypatch.setattr(lm_scoring, "BATCH_CHARS", chars)
+        check_scores(df, lm_scoring.score(df, fold(F.col("doc_id"))).collect())
