@@ -207,3 +207,25 @@ def test_shard_query(spark, sf_dir):
         size[r.shard] += r["size"]
     assert max(size.values()) - min(size.values()) <= largest
     assert {(r.law, r.grown_shard) for r in rows} == {("bytes", None)}
+
+
+def test_long_sets_are_told_apart_without_their_texts(spark, monkeypatch):
+    # 3,000 shingles: a sketch of 512 bits allows any pair; a third of the first two texts is common, nine tenths of the last two
+    from tidemark.llm import ngram_join
+
+    words = [[f"{name}{k}" for k in range(3_000)] for name in "xyz"]
+    shared = words[0][:1_000]
+    texts = [shared + words[1][1_000:], shared + words[2][1_000:], words[0], words[0][:2_850] + words[1][2_850:]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {r.doc_id: r.key for r in ngram_join._sets(df, "doc_id", "text").collect()}
+    held = ngram_join._zipped(ngram_join._texts(df, "doc_id", "text"))
+    keys = spark.createDataFrame([*sets.items()], "doc_id long, key long")
+    held = held.join(keys, "doc_id").select("key", "zipped")
+    pairs = [tuple(sorted((sets[a], sets[b]))) for a in range(4) for b in range(a)]
+    near = ngram_join._near(spark.createDataFrame(pairs, "a long, b long"), ngram_join._wide_sketches(held)).collect()
+    assert {(r.a, r.b) for r in near} == {tuple(sorted((sets[2], sets[3])))}
+    for name in ("MANY_PAIRS", "MANY_IN_GROUPS"):
+        monkeypatch.setattr(ngram_join, name, 0)
+    found = {r.doc_id: r.component_id for r in ngram_join.near_components(df).collect()}
+    assert found == {0: 0, 1: 1, 2: 2, 3: 2}

@@ -16,8 +16,8 @@ Signatures are packed into bytes per map batch and bucket and grouped by
 bucket.  Groups of at most ``SMALL_GROUP`` sets give all their pairs.  Larger groups are resolved without
 forming theirs: rounds of a few leaders per group, whose links join most members,
 then the pairs of members that are still in different components.  A pair is only formed if
-the sizes and the parity sketches of its sets allow a link.  Every candidate is verified on
-the whole texts.  Only such pairs are left out whose ends are in one component already.
+the sizes and the parity sketches of its sets allow a link.  Candidates whose wider sketches allow
+one too are verified on the whole texts.  Only such pairs are left out whose ends are in one component already.
 
 Cases: a null or empty text has an empty set and links with nothing; repeated
 rows and equal sets share a component; a null id takes part but never names a
@@ -52,6 +52,10 @@ BATCH_SIGNATURES = 1_500_000
 VERIFIED_ROWS = 500
 MOST_COUNTED = 60_000
 SKETCH = 8
+#: Cells of the wide sketch, which tells long sets apart as well.
+WIDE = 4096
+#: Pairs, and pairs of members of groups, from which on wide sketches are made; these change speed only.
+MANY_PAIRS, MANY_IN_GROUPS = 20_000, 1_000_000
 SKETCH_COLUMNS = [f"s{k}" for k in range(SKETCH)]
 
 
@@ -103,7 +107,11 @@ def signatures(elements: np.ndarray) -> np.ndarray:
 
 def sketch(elements: np.ndarray) -> np.ndarray:
     """Parity of the number of elements in each of ``64 * SKETCH`` cells: sketches differ in no more bits than sets in elements."""
-    cells = np.bincount((elements >> U(20)).view(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return _parity(elements, 64 * SKETCH)
+
+
+def _parity(elements: np.ndarray, size: int) -> np.ndarray:
+    cells = np.bincount((elements >> U(20)).view(np.int64) & (size - 1), minlength=size) & 1
     return np.packbits(cells.astype(np.uint8)).view(np.int64)
 
 
@@ -252,8 +260,47 @@ def _zipped(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {kind}, hash long, zipped binary")
 
 
-def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs ``a b`` whose whole texts link; ``held`` has ``key zipped``."""
+def _wide_sketches(held: DataFrame) -> DataFrame:
+    """``key n bits``: size and wide sketch of the set of every text of ``held``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor().decompress
+        for whole in batches:
+            for at in range(0, whole.num_rows, VERIFIED_ROWS):
+                batch = whole.slice(at, VERIFIED_ROWS)
+                found = shingle_sets([unzip(z.as_py()).decode("utf-8", "surrogatepass") for z in batch.column(1)])
+                bits = pa.array([_parity(elements, WIDE).tobytes() for elements in found], pa.binary())
+                sizes = pa.array([len(elements) for elements in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), sizes, bits], ["key", "n", "bits"])
+
+    return held.select("key", "zipped").mapInArrow(run, "key long, n long, bits binary")
+
+
+def _near(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """The pairs ``a b`` whose wide sketches allow a link; no pair that links is left out."""
+    joined = pairs.join(wide.select(F.col("key").alias("a"), "n", F.col("bits").alias("x")), "a")
+    joined = joined.join(wide.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, WIDE // 64) for k in (4, 5))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            allowed = pa.array(differ * (100 + SHARE) <= both * (100 - SHARE))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(allowed)
+
+    return joined.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, held: DataFrame, wide: DataFrame | None = None) -> DataFrame:
+    """The pairs ``a b`` whose whole texts link; ``held`` has ``key zipped``.
+
+    With ``wide``, the wide sketches of these texts, only texts of pairs that these allow are dealt out.
+    """
+    if wide is not None:
+        pairs = stored(_near(pairs, wide), "near-pairs")
+        ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
+        held = held.join(ends, "key", "left_semi")
     joined = pairs.join(held.select(F.col("key").alias("a"), F.col("zipped").alias("left")), "a")
     joined = joined.join(held.select(F.col("key").alias("b"), F.col("zipped").alias("right")), "b")
 
@@ -345,14 +392,21 @@ def near_components(df: DataFrame, id_column: str = "doc_id", text_column: str =
     held = texts.join(found, (texts["hash"] == F.col("_hash")) & texts["doc_id"].eqNullSafe(F.col("_id")))
     held = stored(held.groupBy("key").agg(F.first("zipped").alias("zipped")), "candidate-texts")
 
-    links = stored(_verified(few, held), "links")
+    wide = []
+
+    def verified(pairs: DataFrame, many: bool) -> DataFrame:
+        if many and not wide:
+            wide.append(stored(_wide_sketches(held), "wide-sketches"))
+        return _verified(pairs, held, wide[0] if many else None)
+
+    links = stored(verified(few, few.count() >= MANY_PAIRS), "links")
     labels = components(links)
     members = stored(_open(_labelled(members, labels)), "members")
     left = _cross_count(members)
     for turn in range(ROUNDS):
         if not left:
             break
-        more = _verified(_leader_pairs(members, turn), held)
+        more = verified(_leader_pairs(members, turn), left >= MANY_IN_GROUPS)
         links = links.unionByName(stored(more, "links"))
         labels = components(links)
         members = stored(_open(_labelled(members.drop("label"), labels)), "members")
@@ -360,7 +414,7 @@ def near_components(df: DataFrame, id_column: str = "doc_id", text_column: str =
         if 2 * left > before:
             break
     if left:
-        links = links.unionByName(stored(_verified(_cross_pairs(members), held), "links"))
+        links = links.unionByName(stored(verified(_cross_pairs(members), left >= MANY_IN_GROUPS), "links"))
         labels = components(links)
     joined = docs.select("doc_id", "n_shingles", "hash", "key").join(labels, docs["key"] == labels["node"], "left")
     alone = F.struct(F.lit(True).alias("alone"), F.coalesce("doc_id", F.lit(-1)).cast("long").alias("of"))
