@@ -229,3 +229,83 @@ def test_long_sets_are_told_apart_without_their_texts(spark, monkeypatch):
         monkeypatch.setattr(ngram_join, name, 0)
     found = {r.doc_id: r.component_id for r in ngram_join.near_components(df).collect()}
     assert found == {0: 0, 1: 1, 2: 2, 3: 2}
+
+
+def spoiled(rng, words, share):
+    return [w if rng.random() > share else f"n{rng.random()}" for w in words]
+
+
+def test_linked_sets_share_more_signatures_than_they_spare():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for size in [1, 2, 3, 5, 8, 13, 20, 33, 50, 70, 99, 100, 130, 200, 396, 640, 1500, 4000]:
+        for _ in range(12):
+            n = size + int(rng.integers(0, size // 3 + 1))
+            pool = rng.integers(1, 1 << 63, 3 * n + 3, np.uint64) * np.uint64(2) + np.uint64(1)
+            own, gone = int(rng.integers(0, n // 3 + 1)), 0
+            while 100 * (n - gone - 1) >= 75 * (n + own):
+                gone += 1
+            one, two = pool[:n], np.concatenate([pool[gone:n], pool[n : n + own]])
+            if 100 * (n - gone) < 75 * (n + own):
+                continue
+            common = np.intersect1d(ngram_join.signatures(one), ngram_join.signatures(two)).astype(np.uint64)
+            shared = [int((common % np.uint64(2) == k).sum()) for k in (0, 1)]
+            spares = [ngram_join.spare_signatures(one), ngram_join.spare_signatures(two)]
+            # the instance that the bands of both have in common
+            own_bands = [{j for j, _ in ngram_join.instances(len(x))} for x in (one, two)]
+            both = own_bands[0] & own_bands[1]
+            assert any(shared[j & 1] > max(s[j & 1] for s in spares) for j in both), (n, len(two))
+
+
+def test_pairs_of_unlinked_families_are_left_out_in_blocks(spark, monkeypatch):
+    """Members of a family share many signatures and are too far apart: none of their 780 pairs is formed as a row."""
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(2_000)]
+    texts = [" ".join(spoiled(rng, base, 0.06)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = ngram_join._sets(df, "doc_id", "text").select("doc_id", "key").collect()
+    members = [(sig, r.key, r.key) for r in sets for sig in range(r.doc_id % 3, 30, 3 if r.doc_id % 2 else 1)]
+    members = spark.createDataFrame(members, "sig long, key long, label long")
+    held = ngram_join._zipped(ngram_join._texts(df, "doc_id", "text"))
+    held = held.join(spark.createDataFrame(sets), "doc_id").select("key", "zipped")
+    for part, block in ((1_000, 50_000), (4, 30), (7, 50_000)):
+        monkeypatch.setattr(ngram_join, "PART_MEMBERS", part)
+        monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+        dealt = ngram_join._blocks(members).collect()
+        met = defaultdict(list)
+        for r in dealt:
+            met[r.block, r.sig].append((r.side, r.key))
+        pairs = {(s, *sorted((a, b))) for (_, s), m in met.items() for x, a in m for y, b in m if a < b and (x, y) in ((0, 0), (1, 2), (2, 1))}
+        groups = defaultdict(set)
+        for r in members.collect():
+            groups[r.sig].add(r.key)
+        assert pairs == {(s, a, b) for s, g in groups.items() for a in g for b in g if a < b}
+        assert ngram_join._cross_pairs(members, ngram_join._wide_sketches(held)).count() == 0
+
+
+@pytest.mark.parametrize("limits", [(1_000, 50_000), (3, 20), (2, 50_000)])
+def test_families_without_leaders(spark, monkeypatch, limits):
+    for name, value in (("PART_MEMBERS", limits[0]), ("BLOCK_ROWS", limits[1]), ("ROUNDS", 0), ("SMALL_GROUP", 1)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng, docs = random.Random(11), []
+    for family in range(4):
+        base = [f"f{family}x{k}" for k in range([30, 90, 150, 260][family])]
+        docs += [" ".join(spoiled(rng, base, share)) for share in (0, 0.01, 0.02, 0.03, 0.05) for _ in range(7)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert answer(ngram_join.near_components(df)) == least_ids(list(enumerate(docs)))
+
+
+def test_components_of_parts(spark, monkeypatch):
+    """Forests of parts, then stars: the same as one part, whatever the parts are."""
+    from tidemark.llm import components as module
+
+    rng = random.Random(2)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(k, k + 1) for k in range(500, 560)] + [(7, 7)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(5)
+    whole = sorted(map(tuple, components(df).collect()))
+    monkeypatch.setattr(module, "PART_LINKS", 20)
+    assert sorted(map(tuple, components(df).collect())) == whole
+    labels = dict(whole)
+    assert all(labels[a] == labels[b] for a, b in links if a != b) and {labels[k] for k in range(500, 561)} == {500}
+    assert all(label <= node for node, label in whole) and len(labels) == len(whole)

@@ -12,10 +12,13 @@ on empty pieces only has a chance that falls with their size; small sets are the
 partitioned anew two to eight times, which leaves it below 1e-8 for a pair at the border.
 Sets are told apart by a 64-bit hash.
 
+Sets that link share more than one signature unless they differ in ``k`` elements, so a set can spare a few
+(:func:`spare_signatures`): it leaves its largest groups.
+
 Signatures are packed into bytes per map batch and bucket and grouped by
 bucket.  Groups of at most ``SMALL_GROUP`` sets give all their pairs.  Larger groups are resolved without
-forming theirs: rounds of a few leaders per group, whose links join most members,
-then the pairs of members that are still in different components.  A pair is only formed if
+forming theirs: rounds of a few leaders per group, whose links join most members.  Members that are still in different
+components meet in blocks of groups, where each two of them are compared once by wide sketches.  A pair becomes a row only if
 the sizes and the parity sketches of its sets allow a link.  Candidates whose wider sketches allow
 one too are verified on the whole texts.  Only such pairs are left out whose ends are in one component already.
 
@@ -33,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_or_empty
@@ -56,7 +59,13 @@ SKETCH = 8
 WIDE = 4096
 #: Pairs, and pairs of members of groups, from which on wide sketches are made; these change speed only.
 MANY_PAIRS, MANY_IN_GROUPS = 20_000, 1_000_000
+#: Rows of a block of groups, and members of a part of a large group; pairs that are formed and compared at a time.
+BLOCK_ROWS, PART_MEMBERS = 50_000, 1_000
+MEETINGS, SKETCHED = 1_000_000, 20_000
+#: An instance has one part more for so many differing elements.
+MORE_PARTS = 20
 SKETCH_COLUMNS = [f"s{k}" for k in range(SKETCH)]
+SPARE_COLUMNS = ["spare_even", "spare_odd"]
 
 
 def band_edges(largest: int) -> list[int]:
@@ -86,14 +95,24 @@ def repeats(size: int) -> int:
     return 1 if size >= 100 else 2 if size >= 50 else 4 if size >= 16 else 8
 
 
+def parts_of(distance: int) -> int:
+    """Parts of an instance; linked sets share more than one signature if there are more than ``distance // 2 + 1``."""
+    return distance // 2 + 1 + distance // MORE_PARTS
+
+
+def _slots(elements: np.ndarray, j: int, turn: int, parts: int) -> np.ndarray:
+    """The piece of every element."""
+    return (((elements * _SEEDS[(j << 8) + turn]) >> U(32)) * U(3 * parts) >> U(32)).view(np.int64)
+
+
 def signatures(elements: np.ndarray) -> np.ndarray:
-    """All signatures of a set; its elements are hashes already."""
+    """All signatures of a set; its elements are hashes already.  The last bit is that of the instance."""
     found = []
     for j, distance in instances(len(elements)):
-        parts = distance // 2 + 1
+        parts = parts_of(distance)
         for turn in range(repeats(len(elements))):
             seed = U((j << 8) + turn)
-            slot = (((elements * _SEEDS[int(seed)]) >> U(32)) * U(3 * parts) >> U(32)).view(np.int64)
+            slot = _slots(elements, j, turn, parts)
             sums = np.zeros(3 * parts, np.uint64)
             np.add.at(sums, slot, elements)
             sums = sums.reshape(-1, 3)
@@ -101,10 +120,32 @@ def signatures(elements: np.ndarray) -> np.ndarray:
             left, right = sums[:, (0, 0, 1)], sums[:, (1, 2, 2)]
             name = np.arange(3 * parts, dtype=np.uint64).reshape(-1, 3) + (seed << U(40))
             both = mix(left * _ODD[0] + right * _ODD[1] + name * _ODD[2])
-            found.append(both[(left != 0) | (right != 0)])
+            found.append((both & ~U(1) | U(j & 1))[(left != 0) | (right != 0)])
     return np.concatenate(found)
 
 
+def spare_signatures(elements: np.ndarray) -> list[int]:
+    """How many signatures of its even and of its odd instance a set shares at least, beyond one, with any set it links with.
+
+    A part without a differing element gives three shared signatures, one with one of them one; those
+    of empty pieces are no signatures.  One more is left out of the count, for signatures that are equal by chance.
+    """
+    found, size = [0, 0], len(elements)
+    for j, distance in instances(size) if size else ():
+        parts, largest = parts_of(distance), min(size * 100 // SHARE, EDGES[j + (size < EDGES[j])] - 1)
+        turns = repeats(max(size, largest))  # a larger set may be partitioned less often
+        differ = (size + largest) * (100 - SHARE) // (100 + SHARE)
+        shared = turns * (3 * parts - 2 * differ if differ <= parts else 2 * parts - differ)
+        if shared <= 2:
+            continue
+        for turn in range(turns):
+            full = np.bincount(_slots(elements, j, turn, parts), minlength=3 * parts).reshape(-1, 3) > 0
+            filled = full.sum(axis=1)
+            shared -= int(3 * (filled == 0).sum() + (filled == 1).sum())
+        found[j & 1] = max(0, shared - 2)
+    return found
+
+
 def sketch(elements: np.ndarray) -> np.ndarray:
     """Parity of the number of elements in each of ``64 * SKETCH`` cells: sketches differ in no more bits than sets in elements."""
     return _parity(elements, 64 * SKETCH)
@@ -124,25 +165,26 @@ def _split_counts(counts: np.ndarray, more: np.ndarray) -> np.ndarray:
 
 
 def _sets(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``doc_id hash n_shingles key s0 ..`` per document."""
+    """``doc_id hash n_shingles key s0 .. spare_even spare_odd`` per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, bits = [], [], []
+            sizes, keys, bits, spare = [], [], [], []
             for _, elements in sets_of(batch.column(2)):
                 sizes.append(len(elements))
                 keys.append(set_key(elements))
                 bits.append(sketch(elements))
+                spare.append(spare_signatures(elements))
             grid = np.array(bits, np.int64).reshape(-1, SKETCH)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()),
-                 *(pa.array(grid[:, k]) for k in range(SKETCH))],
-                ["doc_id", "hash", "n_shingles", "key", *SKETCH_COLUMNS],
+                 *(pa.array(grid[:, k]) for k in range(SKETCH)), *(pa.array([s[k] for s in spare], pa.int64()) for k in range(2))],
+                ["doc_id", "hash", "n_shingles", "key", *SKETCH_COLUMNS, *SPARE_COLUMNS],
             )
 
     rows = _texts(df, id_column, text_column)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    longs = ", ".join(f"{c} long" for c in ["hash", "n_shingles", "key", *SKETCH_COLUMNS])
+    longs = ", ".join(f"{c} long" for c in ["hash", "n_shingles", "key", *SKETCH_COLUMNS, *SPARE_COLUMNS])
     return rows.mapInArrow(run, f"doc_id {kind}, {longs}")
 
 
@@ -199,7 +241,7 @@ def _packed(df: DataFrame, text_column: str, buckets: int) -> DataFrame:
 
 
 def _groups(packed: DataFrame) -> DataFrame:
-    """``sig a b``: pairs of small groups (``sig`` is null), and members ``a`` of larger groups (``b`` is null)."""
+    """``sig a b``: pairs of small groups (``sig`` is null), and members ``a`` of larger groups of ``b`` sets."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, sigs = [], []
@@ -231,7 +273,7 @@ def _groups(packed: DataFrame) -> DataFrame:
         names = (sig[large] | (U(bucket) << U(40))).view(np.int64)
         blank = pa.nulls(len(pair), pa.int64())
         a = pa.chunked_array([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(key[large])])
-        b = pa.chunked_array([pa.array(np.ascontiguousarray(pair[:, 1])), pa.nulls(len(names), pa.int64())])
+        b = pa.chunked_array([pa.array(np.ascontiguousarray(pair[:, 1])), pa.array(np.repeat(size, size)[large])])
         return pa.table([pa.chunked_array([blank, pa.array(names)]), a, b], ["sig", "a", "b"])
 
     return packed.groupBy("bucket").applyInArrow(run, "sig long, a long, b long")
@@ -332,6 +374,20 @@ def _allowed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(_may_link("x", "y")).select("a", "b")
 
 
+def _without_spare(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members ``sig key`` without the most frequent signatures that a set can spare, with size and sketch.
+
+    Of the signatures that two linked sets share, the one of the smallest group is left: as many of the others come
+    before it as either set spares.
+    """
+    joined = members.select("sig", F.col("a").alias("key"), F.col("b").alias("_size")).join(sets, "key")
+    odd = F.col("sig").bitwiseAND(F.lit(1))
+    ranked = Window.partitionBy("key", "_odd").orderBy(F.desc("_size"), "sig")
+    joined = joined.withColumn("_odd", odd).withColumn("_place", F.row_number().over(ranked))
+    needed = joined.where(F.col("_place") > F.when(F.col("_odd") == 0, F.col("spare_even")).otherwise(F.col("spare_odd")))
+    return needed.select("sig", "key", "n_shingles", *SKETCH_COLUMNS)
+
+
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     joined = members.join(labels, members["key"] == labels["node"], "left")
     return joined.select("sig", "key", F.coalesce("label", "key").alias("label"), "n_shingles", *SKETCH_COLUMNS)
@@ -349,18 +405,84 @@ def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
     order = [F.min_by(one, F.xxhash64("key", F.lit(turn * LEADERS + k))) for k in range(LEADERS)]
     leaders = members.groupBy("sig").agg(F.array_distinct(F.array(*order)).alias("_leaders"))
     leaders = leaders.select("sig", F.explode("_leaders").alias("_one")).select("sig", "_one.*")
-    return _pairs_apart(members, leaders, F.lit(True))
-
-
-def _pairs_apart(left: DataFrame, right: DataFrame, more: Column) -> DataFrame:
-    x, y = left.alias("x"), right.alias("y")
-    apart = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") != F.col("y.label")) & more & _may_link("x", "y")
+    x, y = members.alias("x"), leaders.alias("y")
+    apart = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") != F.col("y.label")) & _may_link("x", "y")
     return x.join(y, apart).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of a group that are in different components and may link."""
-    return _pairs_apart(members, members, F.col("x.key") < F.col("y.key"))
+def _blocks(members: DataFrame) -> DataFrame:
+    """``block side sig key label``: the members of groups dealt out so that each two of a group meet in a block.
+
+    Groups with the same first member, by a hash, share a block as far as it holds ``BLOCK_ROWS`` rows, as these mostly
+    have other members in common too.  A group of more than ``PART_MEMBERS`` is cut into parts: a block holds one part
+    (``side`` 0) or two whose members meet each other's only (1 and 2).
+    """
+    sigs = members.groupBy("sig").agg(F.count(F.lit(1)).alias("_m"), F.min_by("key", F.xxhash64("key")).alias("_owner"))
+    sigs = sigs.withColumn("_parts", F.ceil(F.col("_m") / PART_MEMBERS).cast("int"))
+    owners = sigs.groupBy("_owner").agg(F.sum(F.col("_m") * F.col("_parts")).alias("_rows"))
+    rows = owners.agg(F.sum("_rows")).head()[0] or 0
+    buckets = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / BLOCK_ROWS))
+    sigs = sigs.join(owners, "_owner")
+    turn = F.pmod(F.xxhash64("sig"), F.ceil(F.col("_rows") / BLOCK_ROWS))
+    sigs = sigs.select("sig", "_parts", "_rows", F.xxhash64("_owner", turn).alias("_name"))
+    own = F.pmod(F.xxhash64("key", F.lit(1)), F.col("_parts")).cast("int")
+    dealt = members.select("sig", "key", "label").join(sigs, "sig").withColumn("_own", own)
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    apart = F.xxhash64("_name", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    together = F.pmod("_name", F.lit(buckets))
+    block = F.when(F.col("_rows") <= BLOCK_ROWS, together).otherwise(apart)
+    side = F.when(F.col("_own") == F.col("_other"), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2)
+    return dealt.select(block.alias("block"), side.alias("side"), "sig", "key", "label")
+
+
+def _meetings(sig: np.ndarray, side: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of members that meet, in pieces of about ``MEETINGS``."""
+    order = np.lexsort((side, sig))
+    sig, side, place = sig[order], side[order], place[order]
+    _, first, size = np.unique(sig[side == 0], return_index=True, return_counts=True)
+    alone = place[side == 0]
+    for m in np.unique(size[size > 1]):
+        x, y = np.triu_indices(m, 1)
+        at = first[size == m]
+        step = max(1, MEETINGS // len(x))
+        for k in range(0, len(at), step):
+            yield alone[(at[k : k + step, None] + x).ravel()], alone[(at[k : k + step, None] + y).ravel()]
+    names, first = np.unique(sig[side > 0], return_index=True)
+    cut, second = place[side > 0], side[side > 0] == 2
+    for at, end in zip(first, [*first[1:], len(cut)]):
+        left, right = cut[at:end][~second[at:end]], cut[at:end][second[at:end]]
+        yield np.repeat(left, len(right)), np.tile(right, len(left))
+
+
+def _cross_pairs(members: DataFrame, wide: DataFrame) -> DataFrame:
+    """All pairs of a group that are in different components and whose wide sketches allow a link."""
+    dealt = stored(_blocks(members), "blocks")
+    sets = dealt.select(F.col("block").alias("of"), F.col("key").alias("key"), "label")
+    sets = sets.groupBy("of", "key").agg(F.first("label").alias("label")).join(wide, "key")
+
+    def run(rows: pa.Table, held: pa.Table) -> pa.Table:
+        key, label, n = (held.column(c).to_numpy() for c in ("key", "label", "n"))
+        bits = np.frombuffer(b"".join(held.column("bits").to_pylist()), np.uint64).reshape(-1, WIDE // 64)
+        order = np.argsort(key)
+        key, label, n, bits = key[order], label[order], n[order], bits[order]
+        place = np.searchsorted(key, rows.column("key").to_numpy())
+        codes = np.zeros(0, np.int64)
+        for x, y in _meetings(rows.column("sig").to_numpy(), rows.column("side").to_numpy(), place):
+            code = np.unique(np.minimum(x, y) * len(key) + np.maximum(x, y))
+            x, y = code // len(key), code % len(key)
+            least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            codes = np.union1d(codes, code[(label[x] != label[y]) & (least * 100 >= most * SHARE)])
+        x, y = codes // max(1, len(key)), codes % max(1, len(key))
+        kept = [np.zeros(0, bool)]
+        for k in range(0, len(x), SKETCHED):
+            i, j = x[k : k + SKETCHED], y[k : k + SKETCHED]
+            differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+            kept.append(differ * (100 + SHARE) <= (n[i] + n[j]) * (100 - SHARE))
+        kept = np.concatenate(kept)
+        return pa.table([pa.array(key[x[kept]], pa.int64()), pa.array(key[y[kept]], pa.int64())], ["a", "b"])
+
+    met = dealt.select("block", "side", "sig", "key").groupBy("block").cogroup(sets.groupBy("of"))
+    return met.applyInArrow(run, "a long, b long").distinct()
 
 
 def _cross_count(members: DataFrame) -> int:
@@ -375,7 +497,7 @@ def near_components(df: DataFrame, id_column: str = "doc_id", text_column: str =
     docs = stored(_sets(df, id_column, text_column), "sets")
     sets = docs.where("n_shingles > 0").groupBy("key").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("one"),
-        F.first("n_shingles").alias("n_shingles"), *(F.first(c).alias(c) for c in SKETCH_COLUMNS),
+        F.first("n_shingles").alias("n_shingles"), *(F.first(c).alias(c) for c in [*SKETCH_COLUMNS, *SPARE_COLUMNS]),
     )
     sets = stored(sets, "distinct-sets")
     volume = sets.agg(F.sum("n_shingles")).head()[0] or 0
@@ -384,8 +506,7 @@ def near_components(df: DataFrame, id_column: str = "doc_id", text_column: str =
     groups = stored(_groups(_packed(df, text_column, buckets)), "signature-groups")
 
     few = stored(_allowed(groups.where("sig is null").select("a", "b").distinct(), sets), "pairs")
-    members = groups.where("b is null").select("sig", F.col("a").alias("key"))
-    members = members.join(sets.select("key", "n_shingles", *SKETCH_COLUMNS), "key")
+    members = stored(_without_spare(groups.where("sig is not null"), sets), "members")
     wanted = few.select(F.col("a").alias("key")).union(few.select("b")).union(members.select("key")).distinct()
     found = wanted.join(sets, "key").select("key", F.col("one.doc_id").alias("_id"), F.col("one.hash").alias("_hash"))
     texts = _zipped(_texts(df, id_column, text_column))
@@ -394,10 +515,13 @@ def near_components(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
     wide = []
 
-    def verified(pairs: DataFrame, many: bool) -> DataFrame:
-        if many and not wide:
+    def sketches() -> DataFrame:
+        if not wide:
             wide.append(stored(_wide_sketches(held), "wide-sketches"))
-        return _verified(pairs, held, wide[0] if many else None)
+        return wide[0]
+
+    def verified(pairs: DataFrame, many: bool) -> DataFrame:
+        return _verified(pairs, held, sketches() if many else None)
 
     links = stored(verified(few, few.count() >= MANY_PAIRS), "links")
     labels = components(links)
@@ -414,7 +538,9 @@ def near_components(df: DataFrame, id_column: str = "doc_id", text_column: str =
         if 2 * left > before:
             break
     if left:
-        links = links.unionByName(stored(verified(_cross_pairs(members), left >= MANY_IN_GROUPS), "links"))
+        cross = stored(_cross_pairs(members, sketches()), "near-pairs")
+        ends = cross.select(F.col("a").alias("key")).union(cross.select("b"))
+        links = links.unionByName(stored(_verified(cross, held.join(ends, "key", "left_semi")), "links"))
         labels = components(links)
     joined = docs.select("doc_id", "n_shingles", "hash", "key").join(labels, docs["key"] == labels["node"], "left")
     alone = F.struct(F.lit(True).alias("alone"), F.coalesce("doc_id", F.lit(-1)).cast("long").alias("of"))
