@@ -153,6 +153,19 @@ def test_pagerank_with_a_hot_node(spark):
     assert ranks(direction="forward") != plain
 
 
+def test_arcs_are_shuffled_once(spark):
+    """Arcs to unknown nodes are no shares, those of unknown nodes give nothing; one shuffle finds both ends and equal arcs."""
+    df = spark.createDataFrame([(1, 2), (1, 2), (3, 2), (9, 2), (1, 9), (2, 1)], "source int, target int")
+    nodes = spark.createDataFrame([(1,), (2,), (3,)], "node int")
+    found = {r.node: r["rank"] for r in graph.pagerank(df, nodes, iterations=1, direction="forward").collect()}
+    third = 1 / 3
+    assert found == pytest.approx({1: 0.15 * third + 0.85 * third, 2: 0.15 * third + 1.7 * third, 3: 0.15 * third})
+    arcs = graph._arcs(df.selectExpr("source AS _from", "target AS _to").hint("merge"), nodes)
+    assert sorted(map(tuple, arcs.collect())) == [(1, 2), (2, 1), (3, 2), (9, 2)]
+    plan = arcs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 2  # one of the arcs, one of the nodes
+
+
 def test_laplacian(nodes):
     places = graph.flow_nodes(nodes).filter("doc_id = 'highest'")
     pairs = graph.adjacency(graph.flow_edges(nodes), places, ["doc_id"])

@@ -161,10 +161,10 @@ def pagerank(
     giver, taker = ("target", "source") if direction == "reverse" else ("source", "target")
     # a NULL key is no graph, a NULL node no node
     edges, nodes = edges.dropna(subset=[*keys, "source", "target"]), nodes.dropna(subset=[*keys, "node"])
-    pairs = adjacency(edges, nodes, keys)
-    arcs = pairs.select(*keys, F.col(giver).alias("_from"), F.col(taker).alias("_to"))
+    ends = [F.col(giver).alias("_from"), F.col(taker).alias("_to")]
     if not keys:
-        return _pagerank_by_joins(arcs, nodes, [], damping, iterations, split)
+        return _pagerank_by_joins(_arcs(edges.select(*ends), nodes), nodes, [], damping, iterations, split)
+    arcs = adjacency(edges, nodes, keys).select(*keys, *ends)
     size = nodes.select(*keys).unionByName(arcs.select(*keys)).groupBy(*keys)
     size = size.agg(F.count(F.lit(1)).alias("_size"))
     large = size.filter(F.col("_size") > small_graph).select(*keys)
@@ -177,6 +177,16 @@ def pagerank(
     )
 
 
+def _arcs(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct arcs to known nodes.
+
+    Arcs to unknown takers must not count as shares; the shuffle that finds them brings equal arcs together as well.
+    Arcs of unknown givers meet no rank.
+    """
+    known = nodes.select(F.col("node").alias("_to"))
+    return arcs.join(known, ["_to"], "left_semi").distinct().select("_from", "_to")
+
+
 def _pagerank_in_tasks(
     arcs: DataFrame, nodes: DataFrame, keys: Sequence[str], damping: float, iterations: int
 ) -> DataFrame:
