@@ -212,6 +212,37 @@ def test_score_query(spark, sf_dir):
     check_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), rows)
 
 
+class RunningTrees(PlainTrees):
+    """The plain model over running texts: contexts reach over spaces and words."""
+
+    @staticmethod
+    def coded(words):
+        text = bytes(lm_scoring.DEPTH) + b" ".join(words)
+        return [(text[k - lm_scoring.DEPTH : k], text[k]) for k in range(lm_scoring.DEPTH, len(text))]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"BATCH_CHARS": 90, "CHUNK_BYTES": 40, "PIECE_GRAMS": 10}])
+def test_running_text_is_scored_over_spaces(spark, monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(lm_scoring, name, value)
+    texts = [
+        "the cat sat on the mat", "The cat  sat on\nthe hat", "", None, " ", "mat the on sat cat the", "x\x00\x00y \x00\x00\x00\x00\x00\x00\x00\x00 b",
+        "Größe 中文 \U0001f600 naïve", "the cat sat on the mat", "a b c d e f g h", "longerthansevenbytes longerthansevenbytes",
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)] * 2 + [(None, "the cat"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = lm_scoring.score(df, F.col("doc_id").isin(1, 5, 7)).collect()
+    coded = [(r.doc_id, (*(r.text or "").encode().lower().split(), b"\n")) for r in df.collect()]
+    trees = RunningTrees(Counter(words for i, words in coded if i not in (1, 5, 7)))
+    want = sorted((i is None, i, trees.log10(words)) for i, words in coded)
+    found = sorted((r.doc_id is None, r.doc_id, r.running_score) for r in got)
+    assert [r[:2] for r in found] == [r[:2] for r in want]
+    assert [r[2] for r in found] == pytest.approx([r[2] for r in want], rel=1e-9)
+    # the same words in another order are another text
+    one, two = (next(r for r in got if r.doc_id == i) for i in (0, 5))
+    assert one.score == pytest.approx(two.score) and one.running_score > two.running_score + 1
+
+
 def judged(spark, urls):
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
     return {r.page_id: r for r in url_filter.judge(df, url_filter.fit(spark)).collect()}
