@@ -78,3 +78,27 @@ def test_neighbours_meet_once():
     assert list(zip(found["first_id"], found["second_id"])) == [(1, 2)]
     same_cell = guests.set_column(2, "_visits", pa.array([False, False]))
     assert near._pairs_of(same_cell, own, 0, 1.0, schema).num_rows == 0
+
+
+def test_blocks_meet_once(spark, monkeypatch):
+    """A dense cell is dealt once for each block it has, not for each block of either side, and floats stay floats."""
+    kept, dealt = {}, []
+
+    def keep(df, name):
+        kept[name] = df.schema
+        return df.localCheckpoint()
+
+    meetings = getattr(near, "_meetings", None)
+    monkeypatch.setattr(near, "stored", keep)
+    if meetings:
+        monkeypatch.setattr(near, "_meetings", lambda *given: dealt.append(meetings(*given)) or dealt[-1])
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(640, 3)).astype(np.float32) * 0.01
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(data)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    found = near.near_pairs(df, "id", "v", 0.02, pivots=1, block_rows=8).collect()
+    want = {(i, j) for i in range(640) for j in range(i) if np.linalg.norm(data[i].astype(float) - data[j].astype(float)) <= 0.02}
+    assert {(r.second_id, r.first_id) for r in found} == want and len(found) == len(want)
+    assert kept["single-vectors"]["_v"].dataType.elementType.simpleString() == "float"
+    # at most 16 blocks of own rows and 16 of visitors in a cell
+    assert dealt and dealt[0].count() <= 640 * (16 + 16 + 1 + 16)

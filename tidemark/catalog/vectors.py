@@ -262,13 +262,13 @@ NEAR = 1.15
 
 def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different vectors at most ``NEAR`` apart."""
-    found = near.near_pairs(embeddings(spark, sf_dir), "vec_id", "v", NEAR)
+    found = near.near_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", NEAR)
     return found.select("first_id", "second_id", *rounded("divergence"))
 
 
 def near_vectors_of_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same within each label."""
-    found = near.near_pairs(embeddings(spark, sf_dir), "vec_id", "v", NEAR, keys=["label"])
+    found = near.near_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", NEAR, keys=["label"])
     return found.select("label", "first_id", "second_id", *rounded("divergence"))
 
 

@@ -3,7 +3,9 @@
 Distances to a few pivots put every vector into a cell of a grid whose width is the distance asked for.
 By the triangle inequality two vectors that near lie in the same or in neighbouring cells, so one equi-join on
 cells finds every pair; the distance itself is then computed.  Equal vectors count once, under their smallest id.  A dense cell
-is cut into blocks of rows, and one task compares one block with another as a matrix product.
+is cut into blocks of rows, of which each two meet once; a task keeps one block and compares the rows of the other with it as
+matrix products, giving pairs as it finds them.  What is shuffled is a row for each block it meets, so blocks are as few as tasks
+need to share the work, until their size says otherwise.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 from tidemark.functions.arrays import doubles
 from tidemark.plans.segments import join_keys
@@ -26,8 +28,10 @@ from tidemark.session import stored
 PIVOTS = 3
 #: Vectors that pivots are chosen from, the first by the hash of their id.
 SAMPLE = 2_000
-#: Rows of a block; two blocks meet in one task.
+#: Rows of a block at least; two blocks meet in one task.
 BLOCK_ROWS = 4_096
+#: Blocks of a cell, as long as one does not hold more than ``BLOCK_BYTES`` of vectors.
+MEETING, BLOCK_BYTES = 16, 32 << 20
 #: Numbers of one slice of a matrix of distances.
 SLICE = 1 << 22
 #: Cells are wider than the distance by this share, so that rounding never moves a pair two cells apart.
@@ -36,7 +40,7 @@ WIDER = 1e-9
 
 def _rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    values = whole.flatten().to_numpy(zero_copy_only=False)
+    values = whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     wide = len(values) // max(len(whole), 1)
     if (np.asarray(whole.value_lengths()) != wide).any():
         raise ValueError("vectors must have one common length")
@@ -60,38 +64,78 @@ def vector_classes(df: DataFrame, id_column: str, vector: str, keys: Sequence[st
     return join_keys(rows, first, [*keys, "_v"], "inner").select(*keys, id_column, "representative")
 
 
-def _pairs_of(left: pa.Table, right: pa.Table, width: int, within: float, schema: pa.Schema) -> pa.Table:
-    """Pairs of a block and another, at most ``within`` apart, once each and with the smaller id first.
+class _Block:
+    """The rows of a block, which others meet."""
+
+    def __init__(self, rows: pa.Table):
+        self.ids, self.rows = rows["_id"], _rows(rows["_v"])
+        self.squares = (self.rows * self.rows).sum(axis=1)
+
+    def pairs(self, left: pa.Table, width: int, within: float, schema: pa.Schema) -> Iterator[pa.Table]:
+        """Pairs of other rows with those of the block, at most ``within`` apart, once each and with the smaller id first.
+
+        Two rows of one block meet twice, all others once; as many pairs are held as a slice of distances has.
+        """
+        a, b = _rows(left["_v"]), self.rows
+        if a.shape[1] != b.shape[1]:
+            raise ValueError("vectors must have one common length")
+        step = max(1, SLICE // len(b))
+        some = max(1, SLICE // max(a.shape[1], 1))
+        for first in range(0, len(a), step):
+            part = a[first : first + step]
+            own = (part * part).sum(axis=1)
+            rough = own[:, None] - 2.0 * (part @ b.T) + self.squares[None, :]
+            # the product loses digits where vectors are long; what may be near is measured again
+            spare = 1e-12 * (own[:, None] + self.squares[None, :])
+            x, y = (rough <= within * within * (1 + 1e-9) + spare).nonzero()
+            spans = [slice(k, k + some) for k in range(0, len(x), some)]
+            far = np.concatenate([np.zeros(0), *(np.linalg.norm(part[x[s]] - b[y[s]], axis=1) for s in spans)])
+            near = far <= within
+            x, y, far = pa.array(x[near] + first), pa.array(y[near]), far[near]
+            ids = [left["_id"].take(x), self.ids.take(y)]
+            ordered = pc.less(ids[0], ids[1])
+            wanted = pc.or_(ordered, pc.and_(left["_visits"].take(x), pc.not_equal(ids[0], ids[1])))
+            ids = [pc.if_else(ordered, *ids), pc.if_else(ordered, *ids[::-1])]
+            keys = [left[f"_k{k}"].take(x) for k in range(width)]
+            yield pa.table([*keys, *ids, pa.array(far)], names=schema.names).cast(schema).filter(wanted)
 
-    Two rows of one cell meet twice, rows of neighbouring cells once.
-    """
+
+def _pairs_of(left: pa.Table, right: pa.Table, width: int, within: float, schema: pa.Schema) -> pa.Table:
+    """All pairs of rows and a block."""
     if not left.num_rows or not right.num_rows:
         return schema.empty_table()
-    a, b = _rows(left["_v"]), _rows(right["_v"])
-    if a.shape[1] != b.shape[1]:
-        raise ValueError("vectors must have one common length")
-    squares = (b * b).sum(axis=1)
-    step, found = max(1, SLICE // len(b)), []
-    for first in range(0, len(a), step):
-        part = a[first : first + step]
-        own = (part * part).sum(axis=1)
-        rough = own[:, None] - 2.0 * (part @ b.T) + squares[None, :]
-        # the product loses digits where vectors are long; what may be near is measured again
-        spare = 1e-12 * (own[:, None] + squares[None, :])
-        x, y = (rough <= within * within * (1 + 1e-9) + spare).nonzero()
-        found.append((x + first, y))
-    x, y = (np.concatenate(c) for c in zip(*found))
-    some = max(1, SLICE // max(a.shape[1], 1))
-    spans = [slice(k, k + some) for k in range(0, len(x), some)]
-    far = np.concatenate([np.zeros(0), *(np.linalg.norm(a[x[s]] - b[y[s]], axis=1) for s in spans)])
-    near = far <= within
-    x, y, far = pa.array(x[near]), pa.array(y[near]), far[near]
-    ids = [left["_id"].take(x), right["_id"].take(y)]
-    ordered = pc.less(ids[0], ids[1])
-    wanted = pc.or_(ordered, pc.and_(left["_visits"].take(x), pc.not_equal(ids[0], ids[1])))
-    ids = [pc.if_else(ordered, *ids), pc.if_else(ordered, *ids[::-1])]
-    keys = [left[f"_k{k}"].take(x) for k in range(width)]
-    return pa.table([*keys, *ids, pa.array(far)], names=schema.names).cast(schema).filter(wanted)
+    return pa.concat_tables(_Block(right).pairs(left, width, within, schema))
+
+
+def _blocks(rows: Column, block_rows: int, most: int) -> Column:
+    """Blocks for so many rows."""
+    size = F.greatest(F.lit(block_rows), F.least(F.lit(most), F.ceil(rows / MEETING)))
+    return F.ceil(rows / size).cast("int")
+
+
+def _meetings(placed: DataFrame, around: DataFrame, cells: DataFrame, cell: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Rows for each meeting ``_place _x _y``: those of block ``_x`` of a cell (``_side`` 0) and those that come to them (1).
+
+    To a block come the blocks of its cell from itself on, and all blocks of visitors.
+    """
+
+    def rows(df: DataFrame, side: int, visits: Column) -> DataFrame:
+        return df.select("_place", "_x", "_y", F.lit(side).alias("_side"), visits.alias("_visits"), *keys, "_id", "_v")
+
+    def block(n: str) -> Column:
+        return F.pmod(F.xxhash64("_id"), F.col(n)).cast("int")
+
+    def every(first: Column, end: Column) -> Column:
+        return F.explode(F.sequence(first, end - 1))
+
+    own = join_keys(placed, cells, cell, "inner").withColumn("_own", block("_blocks"))
+    kept = own.withColumns({"_x": F.col("_own"), "_y": every(F.col("_own"), F.col("_blocks") + F.col("_others"))})
+    home = own.withColumns({"_y": F.col("_own"), "_x": every(F.lit(0), F.col("_own") + 1)})
+    # cells without rows of their own have no visitors to pair
+    guests = join_keys(around, cells, cell, "inner")
+    guests = guests.withColumns({"_y": F.col("_blocks") + block("_others"), "_x": every(F.lit(0), F.col("_blocks"))})
+    coming = rows(home, 1, F.col("_x") != F.col("_y")).unionByName(rows(guests, 1, F.lit(True)))
+    return rows(kept, 0, F.lit(False)).unionByName(coming)
 
 
 def near_pairs(
@@ -108,7 +152,10 @@ def near_pairs(
         raise ValueError("the distance must be positive; vector_classes finds equal vectors")
     named = [F.col(c).alias(f"_k{k}") for k, c in enumerate(keys)]
     by = [f"_k{k}" for k in range(len(keys))]
-    rows = df.select(*named, F.col(id_column).alias("_id"), doubles(vector).alias("_v")).filter("_v is not null")
+    # floats are doubles, too, in half the space
+    short = isinstance(df.schema[vector].dataType, ArrayType) and isinstance(df.schema[vector].dataType.elementType, FloatType)
+    value = F.col(vector) if short else doubles(vector)
+    rows = df.select(*named, F.col(id_column).alias("_id"), value.alias("_v")).filter("_v is not null")
     rows = stored(rows.groupBy(*by, "_v").agg(F.min("_id").alias("_id")), "single-vectors")
     sample = rows.orderBy(F.xxhash64("_id")).limit(SAMPLE).select("_v").toArrow()["_v"]
     fields = [StructField(c, df.schema[c].dataType) for c in keys]
@@ -129,30 +176,39 @@ def near_pairs(
 
     placed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     placed = stored(rows.mapInArrow(place, f"{placed}, _cell array<long>"), "placed-vectors")
-    # of two neighbouring cells one visits the other: its own and those after it in order
-    half = [shift for shift in product((-1, 0, 1), repeat=len(chosen)) if shift >= (0,) * len(chosen)]
+    # of two neighbouring cells one visits the other: those after it in order
+    half = [shift for shift in product((-1, 0, 1), repeat=len(chosen)) if shift > (0,) * len(chosen)]
     shifts = F.array(*[F.array(*[F.lit(s) for s in shift]) for shift in half])
     around = placed.withColumn("_shift", F.explode(shifts))
-    around = around.withColumn("_visits", F.exists("_shift", lambda s: s != 0))
     around = around.withColumn("_cell", F.zip_with("_cell", "_shift", lambda c, s: c + s)).drop("_shift")
     cell = [*by, "_cell"]
-    # blocks of each side by the number of rows that meet in the cell
-    sizes = placed.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
-    guests = around.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_others"))
-    cut = stored(join_keys(sizes, guests, cell, "inner"), "cells")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = join_keys(placed, cut, cell, "inner")
-    own = own.withColumns({"_x": F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"), "_y": every("_others")})
-    # cells without rows of their own have no guests to pair
-    others = join_keys(around, cut, cell, "inner")
-    others = others.withColumns({"_y": F.pmod(F.xxhash64("_id"), F.col("_others")).cast("int"), "_x": every("_blocks")})
-    arrow, wide, most = to_arrow_schema(schema), len(by), float(within)
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _pairs_of(left, right, wide, most, arrow)
-
-    group = [*cell, "_x", "_y"]
-    left, right = (
-        part.select(*[F.col(c).alias(c) for c in [*group, "_id", "_v", *more]]) for part, more in ((others, ["_visits"]), (own, []))
-    )
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(meet, schema)
+    most = max(1, BLOCK_BYTES // (8 * max(1, chosen.shape[1])))
+    sizes = placed.groupBy(*cell).agg(_blocks(F.count(F.lit(1)), block_rows, most).alias("_blocks"))
+    guests = around.groupBy(*cell).agg(_blocks(F.count(F.lit(1)), block_rows, most).alias("_others"))
+    cells = join_keys(sizes, guests, cell, "left").withColumn("_others", F.coalesce("_others", F.lit(0)))
+    cells = stored(cells.withColumn("_place", F.monotonically_increasing_id()), "cells")
+    arrow, wide, limit = to_arrow_schema(schema), len(by), float(within)
+    meeting = ["_place", "_x", "_y"]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, block = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(name).to_numpy() for name in meeting], axis=1)
+            sides = batch.column("_side").to_numpy()
+            starts = [0, *((at[1:] != at[:-1]).any(axis=1).nonzero()[0] + 1).tolist(), batch.num_rows]
+            for start, end in zip(starts, starts[1:]):
+                if last != (here := tuple(at[start].tolist())):
+                    last, held, block = here, [], None
+                coming = start + int((sides[start:end] == 0).sum())
+                if coming > start:
+                    held.append(batch.slice(start, coming - start))
+                if coming < end and held:
+                    block = block or _Block(pa.Table.from_batches(held))
+                    left = pa.Table.from_batches([batch.slice(coming, end - coming)])
+                    for found in block.pairs(left, wide, limit, arrow):
+                        yield from found.to_batches()
+
+    met = _meetings(placed, around, cells, cell, by).repartition(*meeting).sortWithinPartitions(*meeting, "_side")
+    return met.mapInArrow(meet, schema)
