@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import softmax_entropies, wide_softmax_entropies
 from tidemark.functions.hashing import random_projection
 from tidemark.operators import source_review
 from tidemark.plans.wide import vector_moments
@@ -101,3 +102,44 @@ def test_no_sources(spark):
     none = source_review.vectorise(spark.createDataFrame([], "source_id string, source string, n int"))
     assert source_review.review_sources(none, ["n"]).count() == 0
     assert vector_moments(none.withColumn("v", F.col("embedding")), [], "v").count() == 0
+
+
+def test_entropies_of_wide_arrays(spark):
+    """Whole arrays at a time give what the column expression gives, with its cases."""
+    inf = float("inf")
+    rows = [None, [], [1.0, None], [1.0, float("nan")], [inf, 1.0], [-inf, 2.0, 1.0], [-inf], [0.0, 40.0], [3.0], [700.0, -700.0, 699.0]]
+    rows.append([float(x) for x in np.random.default_rng(3).normal(size=1408)])
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, s array<double>").repartition(1)
+    found = df.select("i", softmax_entropies("s").alias("a"), wide_softmax_entropies("s").alias("b")).orderBy("i").collect()
+    assert sum(r.b.shannon is not None for r in found) == 5
+    for r in found:
+        one, two = (list(x) if x is not None else [None, None] for x in (r.a, r.b))
+        assert [v is None for v in one] == [v is None for v in two]
+        assert two == one or two == pytest.approx(one, abs=1e-9)
+
+
+def test_vectors_stay_where_they_are(spark, tmp_path, monkeypatch):
+    """Parsed sources meet their flags before Python sees them, and only what is scored is put in order."""
+    texts = [(f"s{i % 20:02d}", None if i == 7 else t, i) for i, (_, t, _) in enumerate(TEXTS)]
+    df = spark.createDataFrame(texts[:20], "source_id string, source string, n int")
+    rows = source_review.vectorise(df)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("ArrowEvalPython")]
+    assert "Exchange" not in above and "Join" not in above
+    rows.withColumn("dim", F.size("embedding")).withColumn("at", F.monotonically_increasing_id()).write.parquet(f"{tmp_path}/v")
+    # rows of one id, and rows that are alike but for their number
+    kept = spark.read.parquet(f"{tmp_path}/v")
+    kept = kept.unionByName(kept.filter("n < 6").withColumn("at", F.col("at") - 1_000_000))
+    store = source_review.store_rows(source_review.review_sources(kept.filter("n < 4"), ["n"]), F.timestamp_seconds(F.lit(7)))
+    for keys in ([], ["source_id"]):
+        stored = None if keys else store
+        plain = source_review.review_sources(kept, ["n", "at"], keys=keys, store=stored)
+        apart = source_review.review_sources(kept, ["n", "at"], keys=keys, store=stored, row_id="at")
+        assert apart.columns == plain.columns
+        for one, two in zip(plain.orderBy("at").collect(), apart.orderBy("at").collect(), strict=True):
+            for a, b in zip(one, two, strict=True):
+                assert a == b or a == pytest.approx(b, abs=1e-9)
+        plan = apart.select("source_id", "dim", "record_count")._jdf.queryExecution().executedPlan().toString()
+        below = plan[plan.index("Join") :]
+        left = below[: below.index("MapInArrow")]
+        assert "embedding" not in left

@@ -15,7 +15,7 @@ from tidemark.operators import source_review
 from tidemark.session import joined_by_sort, stored
 from tidemark.sources.store import flatten_struct, parse_metadata, upsert_latest
 
-KEYS, ORDER = ["c_nationkey"], ["c_custkey"]
+KEYS, ORDER, ROW = ["c_nationkey"], ["c_custkey"], "_row"
 METADATA = (
     "mahalanobis DOUBLE, entropy DOUBLE, z_score DOUBLE, confidence DOUBLE, "
     "security_flags STRUCT<sql_injection: BOOLEAN, hardcoded_secrets: BOOLEAN, eval_exec: BOOLEAN>"
@@ -26,17 +26,18 @@ def _vectorised(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = customer_sources(spark, sf_dir).withColumnRenamed("doc_id", "c_custkey")
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal").join(joined_by_sort(texts), ["c_custkey"])
     rows = rows.select(*[c for c in rows.columns if c != "text"], F.col("c_custkey").alias("source_id"), F.col("text").alias("source"))
-    return stored(source_review.vectorise(rows), "vectorised")
+    found = source_review.vectorise(rows).withColumn("dim", F.size("embedding"))
+    return stored(found.withColumn(ROW, F.monotonically_increasing_id()), "vectorised")
 
 
 def _reviewed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The store before, and the records of the sources that came after."""
+    """The store before, and the records of the sources that came after, each with the length ``dim`` of its vector."""
     rows = _vectorised(spark, sf_dir)
     owing = rows.filter("c_acctbal < 0")
-    first = source_review.review_sources(owing, ORDER, keys=KEYS)
+    first = source_review.review_sources(owing, ORDER, keys=KEYS, row_id=ROW)
     store = stored(source_review.store_rows(first, F.timestamp_seconds(F.lit(0)), keep=KEYS), "store")
-    records = source_review.review_sources(rows.filter("c_acctbal >= 0"), ORDER, keys=KEYS, store=store)
-    return store, stored(records, "records")
+    records = source_review.review_sources(rows.filter("c_acctbal >= 0"), ORDER, keys=KEYS, store=store, row_id=ROW)
+    return store, records
 
 
 def review_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def review_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a source is part of its own profile, so it is never further than sqrt(n - 1)
     bounded = F.col("mahalanobis_distance") <= F.sqrt(F.col("record_count")) + 1e-6
     found = records.select(
-        "c_custkey", "record_count", "is_cold_start", "security_flags", F.size("embedding").alias("dim"),
+        "c_custkey", "record_count", "is_cold_start", "security_flags", "dim",
         (follows & bounded).alias("verdict_follows"),
     )
     return flatten_struct(found.withColumn("dim", F.when(F.col("dim") > 0, F.col("dim"))))
@@ -74,6 +75,7 @@ FROM n WHERE c_acctbal >= 0"""
 def stored_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store afterwards: whose row it is, whether its JSON holds the verdict, and its flags."""
     store, records = _reviewed(spark, sf_dir)
+    records = stored(records, "records")
     new = source_review.store_rows(records, F.timestamp_seconds(F.lit(60)), keep=KEYS)
     # reviewed again later: the last row of an id wins
     again = source_review.store_rows(records.filter("c_acctbal > 9000"), F.timestamp_seconds(F.lit(120)), keep=KEYS)

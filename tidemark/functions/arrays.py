@@ -1,12 +1,15 @@
-"""Vector math on ``ARRAY<DOUBLE>`` columns, evaluated inside the JVM."""
+"""Vector math on ``ARRAY<DOUBLE>`` columns, evaluated inside the JVM; entropies of wide ones in Arrow batches."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 TINY = 1e-12
 
@@ -160,6 +163,32 @@ def softmax_entropies(scores: Column | str, base: float = 2.0) -> Column:
     return let(F.array_max(s), lambda top: let(F.transform(s, lambda x: F.exp(x - top)), entropies))
 
 
+@F.arrow_udf(StructType([StructField("shannon", DoubleType()), StructField("renyi_2", DoubleType())]))
+def _wide_entropies(scores: pa.Array) -> pa.Array:
+    found = [np.full(len(scores), np.nan) for _ in range(2)]
+    ends = scores.offsets.to_numpy()
+    values = scores.values.to_numpy(zero_copy_only=False)
+    valid = scores.is_valid().to_numpy(zero_copy_only=False)
+    for k in valid.nonzero()[0]:
+        x = values[ends[k] : ends[k + 1]]
+        top = x.max() if len(x) else np.nan  # NaN where an entry is NaN or NULL
+        if not np.isfinite(top):
+            continue
+        w = np.exp(x - top)
+        w = w[w > w.sum() * TINY]
+        log_z = np.log(w.sum())
+        found[0][k] = log_z - (w * np.log(w)).sum() / w.sum()
+        found[1][k] = 2.0 * log_z - np.log((w * w).sum())
+    return pa.StructArray.from_arrays([pa.array(c, from_pandas=True) for c in found], ["shannon", "renyi_2"])
+
+
+def wide_softmax_entropies(scores: Column | str, base: float = 2.0) -> Column:
+    """``softmax_entropies`` of arrays of doubles with many entries: a task takes whole arrays at a time."""
+    unit = math.log(base)
+    found = _wide_entropies(_col(scores))
+    return F.struct((found["shannon"] / unit).alias("shannon"), (found["renyi_2"] / unit).alias("renyi_2"))
+
+
 def plane_covariance(planes: list[Column | str], first: int = 64) -> dict[str, Column]:
     """Sample covariances of three planes over their first ``first`` positions.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import concat_vectors
@@ -101,19 +101,24 @@ def symbol_vector(nodes: DataFrame, *, iterations: int = graph.ITERATIONS) -> Da
     return rows.select("doc_id", laid.alias("symbols"))
 
 
-def source_vectors(nodes: DataFrame, *, iterations: int = graph.ITERATIONS) -> DataFrame:
-    """``doc_id, embedding`` with 1408 values for every source that parses."""
-    planes = {
-        "syntax": (syntax_encoding(nodes), SYNTAX_DIM),
-        "dataflow": (dataflow_encoding(nodes), DATAFLOW_DIM),
-        "intent": (intent_encoding(nodes), INTENT_DIM),
-    }
+def source_planes(nodes: DataFrame, *, iterations: int = graph.ITERATIONS) -> DataFrame:
+    """``doc_id, symbols, syntax, dataflow, intent`` for every source that parses; a plane without entries is NULL."""
     rows = symbol_vector(nodes, iterations=iterations)
-    for part, _ in planes.values():
+    for part in (syntax_encoding(nodes), dataflow_encoding(nodes), intent_encoding(nodes)):
         rows = rows.join(joined_by_sort(part), ["doc_id"], "left")
+    return rows
+
+
+def embedding() -> Column:
+    """The vector of a source from its planes; NULL without ``symbols``, which all that parse have."""
     projected = []
-    for name, (_, dim) in planes.items():
+    for name, dim in {"syntax": SYNTAX_DIM, "dataflow": DATAFLOW_DIM, "intent": INTENT_DIM}.items():
         padded = F.coalesce(F.col(name), F.array_repeat(F.lit(0.0), dim))
         whole = F.concat(padded, F.array_repeat(F.lit(0.0), dim - F.size(padded)))
-        projected.append(random_projection(dim, dim, name)(whole))
-    return rows.select("doc_id", concat_vectors(*projected, "symbols").alias("embedding"))
+        projected.append(random_projection(dim, dim, name)(F.when(F.col("symbols").isNotNull(), whole)))
+    return concat_vectors(*projected, "symbols")
+
+
+def source_vectors(nodes: DataFrame, *, iterations: int = graph.ITERATIONS) -> DataFrame:
+    """``doc_id, embedding`` with 1408 values for every source that parses."""
+    return source_planes(nodes, iterations=iterations).select("doc_id", embedding().alias("embedding"))

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import wide_softmax_entropies
 from tidemark.functions.hashing import random_projection
 from tidemark.operators import features, patterns, profile, scoring, similarity, snapshots
 from tidemark.operators.hunks import changed_paths, only_changed
@@ -41,11 +42,13 @@ def vectorise(sources: DataFrame, *, patterns_of_secrets: dict[str, str] = patte
     texts = sources.select(F.col("source_id").alias("doc_id"), F.col("source").alias("text"))
     nodes = joined_by_sort(stored(source_nodes(texts), "source-nodes"))
     flags = patterns.scan_flags(texts, nodes, patterns_of_secrets)
-    found = joined_by_sort(features.source_vectors(nodes)).join(flags, ["doc_id"], "right")
-    found = found.withColumnRenamed("doc_id", "_id")
+    # the planes are projected behind all joins: rows that went through Python would be dealt anew
+    planes = features.source_planes(nodes)
+    found = joined_by_sort(planes).join(flags, ["doc_id"], "right").withColumnRenamed("doc_id", "_id")
     rows = sources.join(joined_by_sort(found), sources["source_id"] == found["_id"], "left").drop("_id")
     none = F.struct(*[F.lit(False).alias(name) for name in patterns.FLAGS])
-    return rows.withColumn("security_flags", F.coalesce("security_flags", none))
+    embedding, flagged = features.embedding().alias("embedding"), F.coalesce("security_flags", none).alias("security_flags")
+    return rows.select(*sources.columns, embedding, flagged)
 
 
 def scored_part(embedding: str, dim: int | None = SCORED_DIM) -> Column:
@@ -61,21 +64,32 @@ def review_sources(
     store: DataFrame | None = None,
     score_column: str = "embedding",
     dim: int | None = SCORED_DIM,
+    row_id: str | None = None,
     split: Split = DEFAULT_SPLIT,
     **limits: float,
 ) -> DataFrame:
     """A record per source of ``vectorise``: its metrics and verdict, beside its flags and own columns.
 
     ``store`` holds stored vectors (``embedding``, and the keys): they come before all sources.  Entropies are those
-    of the softmax of ``score_column``.
+    of the softmax of ``score_column``.  ``row_id`` names a column of a stored table that tells all its rows apart: then only what is
+    scored is put in order, and the other columns that are asked for meet their verdict by it.
     """
     rows = vectorised.withColumn("_scored", scored_part("embedding", dim))
+    if row_id is not None:
+        entropies = wide_softmax_entropies(F.col(score_column).cast("array<double>"))
+        rows = rows.withColumn("_entropies", entropies)
+        rows = rows.select(*dict.fromkeys([row_id, *keys, *order_by]), "_scored", "_entropies")
+        score_column = "_entropies"
     prior = None
     if store is not None:
         known = store.withColumn("_scored", scored_part("embedding", dim))
         prior = vector_moments(known, keys, "_scored", split=split)
     found = scoring.review_vectors(rows, keys, order_by, "_scored", score_column, prior=prior, split=split, **limits)
-    return found.drop("_scored")
+    if row_id is None:
+        return found.drop("_scored")
+    metrics = [c for c in found.columns if c not in rows.columns]
+    found = joined_by_sort(found.select(F.col(row_id).alias("_row_of"), *metrics))
+    return vectorised.join(found, vectorised[row_id] == found["_row_of"]).drop("_row_of")
 
 
 def store_rows(reviewed: DataFrame, at: Column, *, keep: Sequence[str] = ()) -> DataFrame:
