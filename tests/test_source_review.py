@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import softmax_entropies, wide_softmax_entropies
-from tidemark.functions.hashing import random_projection
-from tidemark.operators import source_review
+from tidemark.functions.hashing import gaussian_weights, random_projection
+from tidemark.operators import source_review, symbols
 from tidemark.plans.wide import vector_moments
 from tidemark.sources.store import VECTOR_SCHEMA
 
@@ -143,3 +143,23 @@ def test_vectors_stay_where_they_are(spark, tmp_path, monkeypatch):
         below = plan[plan.index("Join") :]
         left = below[: below.index("MapInArrow")]
         assert "embedding" not in left
+
+
+def test_slots_are_mapped_once(spark):
+    """The map of a source's slots is made once, not once for each of its slots."""
+    df = spark.createDataFrame([(1, 0, 0.5), (1, 3, 2.5), (2, 1, -1.0), (2, 9, 7.0)], "doc_id int, slot int, value double")
+    found = symbols.slots_to_array(df, "doc_id", 4, "v")
+    assert {r.doc_id: r.v for r in found.collect()} == {1: [0.5, 0.0, 0.0, 2.5], 2: [0.0, -1.0, 0.0, 0.0]}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "element_at(map_from_entries" not in plan
+
+
+def test_projection_of_odd_vectors(spark):
+    rows = [(0, None), (1, [1.0, 2.0]), (2, None), (3, [float("nan"), 0.0]), (4, [0.0, None])]
+    df = spark.createDataFrame(rows, "i int, v array<double>").repartition(1)
+    found = {r.i: r.p for r in df.select("i", random_projection(2, 3, "odd")("v").alias("p")).collect()}
+    kernel, bias = gaussian_weights(2, 3, 0.01, "odd-kernel"), gaussian_weights(1, 3, 0.001, "odd-bias")[0]
+    assert found[0] is None and found[2] is None and found[1] == pytest.approx(np.tanh(np.array([1.0, 2.0]) @ kernel + bias))
+    assert all(np.isnan(x) for i in (3, 4) for x in found[i])
+    with pytest.raises(Exception, match="must have 2 values"):
+        df.select(random_projection(2, 3, "odd")(F.array(F.lit(1.0)))).collect()

@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,9 +47,17 @@ def random_projection(
     kernel = gaussian_weights(dim_in, dim_out, 0.01, f"{label}-kernel")
     bias = gaussian_weights(1, dim_out, 0.001, f"{label}-bias")[0]
 
-    @F.pandas_udf("array<double>")
-    def project(vectors: pd.Series) -> pd.Series:
-        return on_vectors(vectors, lambda block: np.tanh(block @ kernel + bias))
+    @F.arrow_udf("array<double>")
+    def project(vectors: pa.Array) -> pa.Array:
+        there = vectors.drop_null()
+        if not len(there):
+            return pa.nulls(len(vectors), pa.list_(pa.float64()))
+        values = there.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+        if (there.value_lengths().to_numpy() != dim_in).any():
+            raise ValueError(f"vectors must have {dim_in} values")
+        found = np.tanh(values.reshape(len(there), dim_in) @ kernel + bias)
+        ends = np.append(0, np.cumsum(vectors.is_valid().to_numpy(zero_copy_only=False)) * dim_out)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.ravel()), mask=vectors.is_null())
 
     return project
 

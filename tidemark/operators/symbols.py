@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import let
 from tidemark.functions.hashing import name_bucket
 from tidemark.plans.running import latest_defined, running_sums
 from tidemark.plans.segments import Split
@@ -169,7 +170,7 @@ def slots_to_array(slots: DataFrame, id_column: str, dim: int, name: str) -> Dat
     """Sparse ``slot, value`` rows (at most ``dim`` per id) to one dense array per id."""
     entries = F.map_from_entries(F.collect_list(F.struct("slot", "value")))
     packed = slots.filter(F.col("slot") < dim).groupBy(id_column).agg(entries.alias("_m"))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0))
-    )
+    every = F.sequence(F.lit(0), F.lit(dim - 1))
+    # bound outside the inner lambda, or the map is made from its entries again for each slot
+    dense = let(F.col("_m"), lambda m: F.transform(every, lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))))
     return packed.select(id_column, dense.alias(name))
