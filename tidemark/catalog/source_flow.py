@@ -12,12 +12,10 @@ from tidemark.catalog.common import Query, table
 from tidemark.catalog.structure import customer_sources
 from tidemark.functions import scores
 from tidemark.operators import source_review
-from tidemark.session import joined_by_sort, stored
+from tidemark.session import joined_by_sort, stored_wide as stored
 from tidemark.sources.store import flatten_struct, parse_metadata, upsert_latest
 
 KEYS, ORDER, ROW = ["c_nationkey"], ["c_custkey"], "_row"
-#: Rows of whole vectors (11 kB each) in a row group.
-GROUP_ROWS = 1_000
 METADATA = (
     "mahalanobis DOUBLE, entropy DOUBLE, z_score DOUBLE, confidence DOUBLE, "
     "security_flags STRUCT<sql_injection: BOOLEAN, hardcoded_secrets: BOOLEAN, eval_exec: BOOLEAN>"
@@ -29,7 +27,7 @@ def _vectorised(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal").join(joined_by_sort(texts), ["c_custkey"])
     rows = rows.select(*[c for c in rows.columns if c != "text"], F.col("c_custkey").alias("source_id"), F.col("text").alias("source"))
     found = source_review.vectorise(rows).withColumn("dim", F.size("embedding"))
-    return stored(found.withColumn(ROW, F.monotonically_increasing_id()), "vectorised", group_rows=GROUP_ROWS)
+    return stored(found.withColumn(ROW, F.monotonically_increasing_id()), "vectorised")
 
 
 def _reviewed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -38,7 +36,7 @@ def _reviewed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     owing = rows.filter("c_acctbal < 0")
     first = source_review.review_sources(owing, ORDER, keys=KEYS, row_id=ROW)
     store = source_review.store_rows(first, F.timestamp_seconds(F.lit(0)), keep=KEYS)
-    store = stored(store, "store", group_rows=GROUP_ROWS)
+    store = stored(store, "store")
     records = source_review.review_sources(rows.filter("c_acctbal >= 0"), ORDER, keys=KEYS, store=store, row_id=ROW)
     return store, records
 
@@ -78,7 +76,7 @@ FROM n WHERE c_acctbal >= 0"""
 def stored_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store afterwards: whose row it is, whether its JSON holds the verdict, and its flags."""
     store, records = _reviewed(spark, sf_dir)
-    records = stored(records, "records", group_rows=GROUP_ROWS)
+    records = stored(records, "records")
     new = source_review.store_rows(records, F.timestamp_seconds(F.lit(60)), keep=KEYS)
     # reviewed again later: the last row of an id wins
     again = source_review.store_rows(records.filter("c_acctbal > 9000"), F.timestamp_seconds(F.lit(120)), keep=KEYS)
